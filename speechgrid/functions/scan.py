@@ -133,3 +133,55 @@ def scan(df: DataFrame, by: list[str], order: list[str], chunk: Column | None =
         else:
             done[name] = F.coalesce(mine, c)
     return out.select(*df.columns, *[v.alias(n) for n, v in done.items()])
+
+
+def with_neighbours(df: DataFrame, by: list[str], seq: str, size: int = 1024, **cols) -> DataFrame:
+    """Add columns taken from rows a fixed number of places away. ``seq`` numbers the rows of each ``by`` without gaps;
+    every keyword is ``name=(column, offset)``. Rows are cut into blocks of ``size``; the few rows near a block's ends
+    are copied to the next block, so the window never spans a recording."""
+    ahead = max([0, *(o for _, o in cols.values())])
+    behind = max([0, *(-o for _, o in cols.values())])
+    own = F.expr(f"`{seq}` div {size}")
+    pos = F.pmod(F.col(seq), F.lit(size))
+    blocks = F.filter(F.array(own, F.when(pos < ahead, own - 1), F.when(pos >= size - behind, own + 1)),
+                      lambda b: b.isNotNull())
+    x = df.withColumns({"__own": own, "__k": F.explode(blocks)})
+    w = Window.partitionBy(*by, "__k").orderBy(seq)
+    got = {n: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(w) for n, (c, o) in cols.items()}
+    return x.withColumns(got).filter(F.col("__own") == F.col("__k")).drop("__own", "__k")
+
+
+def walk(df: DataFrame, by: list[str], seq: str, jump: str, longest: int, size: int = 256, fan: int = 1024) -> DataFrame:
+    """The rows a pointer walk lands on: it starts at row 0 of each ``by`` and moves ``jump`` rows ahead (1..longest).
+    Returns (by, seq, jump) of the rows visited.
+
+    Greedy grouping is such a walk, and it is sequential. Each block of ``size`` rows is summarised by where a walk
+    entering at each of its first ``longest`` rows leaves it; the summaries compose, block by block, then over groups of
+    ``fan`` blocks; so only the block summaries are ordered, never the rows."""
+    assert longest <= size
+    blocks = (df.groupBy(*by, F.expr(f"`{seq}` div {size}").alias("__k"))
+              .agg(F.array_sort(F.collect_list(F.struct(F.expr(f"`{seq}` % {size}").alias("p"), F.col(jump).alias("j"))))
+                   .alias("a")).withColumn("__j", F.expr("transform(a, x -> cast(x.j as int))")).drop("a"))
+    # Where a walk entering at row i leaves (rows into the next block), from the last row back.
+    exits = (f"slice(aggregate(reverse(__j), cast(array() as array<int>), (m, j) -> concat(array("
+             f"if(j > size(m), j - size(m) - 1, element_at(m, j))), m)), 1, {longest})")
+    maps = blocks.select(*by, "__k", F.expr("__k div {0}".format(fan)).alias("__s"), F.expr(exits).alias("__m"))
+    follow = "aggregate(ms, cast(e as int), (e, m) -> if(e < size(m.__m), m.__m[e], 0))"
+    ordered = "array_sort(collect_list(struct(__k, __m)))"
+    supers = (maps.groupBy(*by, "__s").agg(F.expr(ordered).alias("ms"))
+              .withColumn("__c", F.expr(f"transform(sequence(0, {longest - 1}), e -> {follow})")))
+    # Entries of the groups: one short ordered list per ``by``.
+    entry = ("aggregate(ss, struct(cast(array() as array<struct<s:bigint,e:int>>) as o, 0 as e), (t, s) -> "
+             "struct(concat(t.o, array(struct(s.__s as s, t.e as e))) as o, s.__c[t.e] as e)).o")
+    top = (supers.groupBy(*by).agg(F.expr("array_sort(collect_list(struct(cast(__s as bigint) as __s, __c)))").alias("ss"))
+           .select(*by, F.explode(F.expr(entry)).alias("x")).select(*by, F.col("x.s").alias("__s"), F.col("x.e").alias("__e")))
+    inner = ("aggregate(ms, struct(cast(array() as array<struct<k:bigint,e:int>>) as o, __e as e), (t, m) -> "
+             "struct(concat(t.o, array(struct(cast(m.__k as bigint) as k, t.e as e))) as o, "
+             "if(t.e < size(m.__m), m.__m[t.e], 0) as e)).o")
+    entries = (supers.join(top, [*by, "__s"]).select(*by, F.explode(F.expr(inner)).alias("x"))
+               .select(*by, F.col("x.k").alias("__k"), F.col("x.e").alias("__e")))
+    heads = ("aggregate(sequence(0, size(__j) - 1), struct(__e as n, cast(array() as array<int>) as h), (t, i) -> "
+             "if(i = t.n, struct(i + __j[i] as n, concat(t.h, array(i)) as h), t)).h")
+    got = blocks.join(entries, [*by, "__k"]).withColumn("__h", F.explode(F.expr(heads)))
+    return got.select(*by, (F.col("__k") * size + F.col("__h")).cast("bigint").alias(seq),
+                      F.expr("__j[__h]").alias(jump))

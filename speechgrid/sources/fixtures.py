@@ -195,4 +195,7 @@ def sql(body: str, **extra: str) -> str:
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({views[n]})" for n in need)
     if not ctes:
         return body
-    return f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
+    return f"WITH {ctes}\n{body}"
