@@ -16,6 +16,7 @@ from ..functions.spans import bucket_of, buckets, overlap_join, point_join
 UNION_BUCKET_MS = 600_000
 MIN_PIECE_MS = 20
 NEAR_MS = 500
+DASH = "– "
 
 
 def _islands(df: DataFrame, keys: list[str], join: Column) -> DataFrame:
@@ -283,7 +284,7 @@ def candidate_windows(df: DataFrame, size_ms: int, min_ms: int = 0, pauses: str
 
 def sweep_merge(cues: DataFrame, by: list[str] = ["media_id"], bucket_ms: int = UNION_BUCKET_MS) -> DataFrame:
     """Labelled cues as one track: cut at all edges; a piece's text is one block per speaker, in the order they began
-    (each prefixed with the speaker when two or more talk); equal touching pieces are joined."""
+    (each behind a dash when two or more talk); equal touching pieces are joined."""
     p = elementary_pieces(cues.select(*by, "speaker", "start_ms", "end_ms", "text"), by, bucket_ms)
     live = (p.groupBy(*by, "__b", "p_start", "p_end")
             .agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "speaker", "text"))).alias("__live")))
@@ -291,7 +292,7 @@ def sweep_merge(cues: DataFrame, by: list[str] = ["media_id"], bucket_ms: int =
     who = "array_distinct(transform(__live, x -> x.speaker))"
     block = ("concat_ws('\n', transform(filter(__live, x -> x.speaker <=> s), x -> x.text))")
     text = (f"if(size({who}) = 1, concat_ws('\n', transform(__live, x -> x.text)),"
-            f" concat_ws('\n', transform({who}, s -> concat(s, ': ', {block}))))")
+            f" concat_ws('\n', transform({who}, s -> concat('{DASH}', {block}))))")
     pieces = live.select(*by, F.col("p_start").alias("start_ms"), F.col("p_end").alias("end_ms"), F.expr(text).alias("text"))
     return interval_union(pieces, [*by, "text"], bucket_ms=bucket_ms)
 

@@ -211,7 +211,7 @@ def _(t):
 
 @query("sweep_merge", islands("fx_pieces", by="media_id, text"), fx_pieces=PIECES.format(src="fx_turns", pick="""
   CASE WHEN COUNT(*) = 1 THEN any_value('turn ' || t.turn) ELSE
-   string_agg(t.speaker || ': turn ' || t.turn, chr(10) ORDER BY t.start_ms, t.end_ms) END AS text"""))
+   string_agg('– turn ' || t.turn, chr(10) ORDER BY t.start_ms, t.end_ms) END AS text"""))
 def _(t):
     return iv.sweep_merge(t.turns.withColumn("text", F.expr("concat('turn ', cast(turn as string))")))
 
