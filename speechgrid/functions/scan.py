@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 CHUNK_MS = 600_000
 
 
@@ -159,17 +161,17 @@ def walk(df: DataFrame, by: list[str], seq: str, jump: str, longest: int, size:
     entering at each of its first ``longest`` rows leaves it; the summaries compose, block by block, then over groups of
     ``fan`` blocks; so only the block summaries are ordered, never the rows."""
     assert longest <= size
-    blocks = (df.groupBy(*by, F.expr(f"`{seq}` div {size}").alias("__k"))
-              .agg(F.array_sort(F.collect_list(F.struct(F.expr(f"`{seq}` % {size}").alias("p"), F.col(jump).alias("j"))))
-                   .alias("a")).withColumn("__j", F.expr("transform(a, x -> cast(x.j as int))")).drop("a"))
+    blocks = stage(df.groupBy(*by, F.expr(f"`{seq}` div {size}").alias("__k"))
+                   .agg(F.array_sort(F.collect_list(F.struct(F.expr(f"`{seq}` % {size}").alias("p"), F.col(jump).alias("j"))))
+                        .alias("a")).withColumn("__j", F.expr("transform(a, x -> cast(x.j as int))")).drop("a"))
     # Where a walk entering at row i leaves (rows into the next block), from the last row back.
     exits = (f"slice(aggregate(reverse(__j), cast(array() as array<int>), (m, j) -> concat(array("
              f"if(j > size(m), j - size(m) - 1, element_at(m, j))), m)), 1, {longest})")
     maps = blocks.select(*by, "__k", F.expr("__k div {0}".format(fan)).alias("__s"), F.expr(exits).alias("__m"))
     follow = "aggregate(ms, cast(e as int), (e, m) -> if(e < size(m.__m), m.__m[e], 0))"
     ordered = "array_sort(collect_list(struct(__k, __m)))"
-    supers = (maps.groupBy(*by, "__s").agg(F.expr(ordered).alias("ms"))
-              .withColumn("__c", F.expr(f"transform(sequence(0, {longest - 1}), e -> {follow})")))
+    supers = stage(maps.groupBy(*by, "__s").agg(F.expr(ordered).alias("ms"))
+                   .withColumn("__c", F.expr(f"transform(sequence(0, {longest - 1}), e -> {follow})")))
     # Entries of the groups: one short ordered list per ``by``.
     entry = ("aggregate(ss, struct(cast(array() as array<struct<s:bigint,e:int>>) as o, 0 as e), (t, s) -> "
              "struct(concat(t.o, array(struct(s.__s as s, t.e as e))) as o, s.__c[t.e] as e)).o")

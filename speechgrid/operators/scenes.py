@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import following, next_seen, row_number, running_sum, scan, walk, with_neighbours
 from ..functions.spans import bucket_of
+from ..session import stage
 from .timing import budget_ms
 
 M = ["media_id"]
@@ -167,7 +168,8 @@ def brief_parts(units: DataFrame, chunks: DataFrame, by: list[str] = M, words: i
     x = scan(c.unionByName(u).withColumn("__tie", F.coalesce("chunk_no", F.col("w"))), by, ["t", "__kind", "__tie"], bucket_of("t", CHUNK), row=last_seen("chunk_no"))
     first = chunks.groupBy(*by).agg(F.min("chunk_no").alias("__first"))
     r = (x.filter("__kind = 1").join(first, by).groupBy(*by, F.coalesce("row", "__first").alias("chunk_no")).agg(F.sum("w").alias("words")).filter("words > 0"))
-    r = scan(r, by, ["chunk_no"], F.expr("chunk_no div 4096"), seq=row_number(), cum=running_sum("words")).withColumn("seq", F.col("seq") - 1)
+    r = stage(scan(stage(r), by, ["chunk_no"], F.expr("chunk_no div 4096"), seq=row_number(), cum=running_sum("words"))
+              .withColumn("seq", F.col("seq") - 1))
     ends = r.select(*by, F.col("cum").alias("__v"), F.lit(1).alias("__k"), "seq", F.col("seq").alias("__stop"))
     asks = r.select(*by, (F.col("cum") - F.col("words") + words).alias("__v"), F.lit(2).alias("__k"), "seq", F.lit(None).cast("bigint").alias("__stop"))
     nxt = scan(ends.unionByName(asks), by, ["__v", "__k", "seq"], F.expr(f"__v div {10 * words}"), stop=next_seen("__stop"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import following, last_seen, next_seen, prev, running_sum, scan, with_neighbours
 from ..functions.spans import bucket_of, overlap_join, point_join
 from ..functions.words import LEXICON, Lexicon, core, sentence_end
+from ..session import stage
 from .intervals import interval_gaps, interval_union
 
 CHUNK = 600_000
@@ -92,7 +93,7 @@ def chunk_cuts(words: DataFrame, by: list[str] = ["media_id"], chunk_ms: int = 6
     cuts = cuts.filter("c4 is not null")
     last = F.col("end").isNotNull() & (F.col("end") <= b)
     cut = F.when(last, F.col("end")).otherwise(F.coalesce("c1", "c2", "c3", "c4"))
-    out = cuts.select(*by, "chunk_no", cut.alias("b_ms"))
+    out = stage(cuts.select(*by, "chunk_no", cut.alias("b_ms")))  # one row per chunk
     out = scan(out, by, ["chunk_no"], F.expr("chunk_no div 4096"), a_ms=prev("b_ms"))
     return out.select(*by, "chunk_no", F.coalesce("a_ms", F.lit(0).cast("bigint")).alias("a_ms"), "b_ms")
 

@@ -153,19 +153,24 @@ def stages(t):
         "if((job_id + grp) % 2 = 0, duration_ms div 2, null) AS span_ms")
 
 
-@query("time_left", "SELECT * FROM fx_left", **JV)
+# Compared in whole milliseconds, with an offset that keeps exact halves of any unit away from the rounding edge.
+def ms(col: str) -> str:
+    return f"CAST(floor({col} * 1000 + 0.2501234) AS BIGINT)"
+
+
+@query("time_left", f"SELECT job_id, {ms('left_s')} AS left_ms FROM fx_left", **JV)
 def _(t):
-    return ops.time_left(jobs2(t), stages(t))
+    return ops.time_left(jobs2(t), stages(t)).selectExpr("job_id", f"{ms('left_s')} AS left_ms")
 
 
 EST = f"""SELECT job_id, stage, grp, {{c}} * (({RANGE}) / 1000) AS x FROM fx_jobs2, fx_prior"""
 
 
-@query("estimate", f"""SELECT l.job_id, low_s, high_s, round_even(LEAST(duration_ms, COALESCE(stop_ms + 30000, duration_ms)) / 1000.0::DOUBLE * 0.18::DOUBLE * 0.16::DOUBLE, 0) + GREATEST(1, ceil(duration_ms / 1000.0::DOUBLE * 2.9::DOUBLE / 8000)) AS calls_low,
+@query("estimate", f"""SELECT l.job_id, {ms('low_s')} AS low_ms, {ms('high_s')} AS high_ms, round_even(LEAST(duration_ms, COALESCE(stop_ms + 30000, duration_ms)) / 1000.0::DOUBLE * 0.18::DOUBLE * 0.16::DOUBLE, 0) + GREATEST(1, ceil(duration_ms / 1000.0::DOUBLE * 2.9::DOUBLE / 8000)) AS calls_low,
   round_even(LEAST(duration_ms, COALESCE(stop_ms + 30000, duration_ms)) / 1000.0::DOUBLE * 0.18::DOUBLE * 0.19::DOUBLE, 0) + GREATEST(1, ceil(duration_ms / 1000.0::DOUBLE * 2.9::DOUBLE / 8000)) AS calls_high
 FROM ({GROUP_TOTAL.format(out='low_s', src=EST.format(c='lo'))}) l JOIN ({GROUP_TOTAL.format(out='high_s', src=EST.format(c='hi'))}) h USING (job_id) JOIN fx_jobs2 USING (job_id)""", **JV)
 def _(t):
-    return ops.estimate(jobs2(t))
+    return ops.estimate(jobs2(t)).selectExpr("job_id", f"{ms('low_s')} AS low_ms", f"{ms('high_s')} AS high_ms", "calls_low", "calls_high")
 
 
 @query("stage_eta", """SELECT media_id AS job_id, stage, CASE WHEN t1 - t0 >= 30000 AND d1 > d0 THEN GREATEST(total - d1, 0) * (t1 - t0) / 1000.0::DOUBLE / (d1 - d0) ELSE 77.0 END AS eta_s
@@ -176,11 +181,11 @@ def _(t):
     return ops.eta(p, p.select("job_id", "stage").distinct().withColumn("left_s", F.lit(77.0)))
 
 
-@query("queue_report", """SELECT job_id, ROW_NUMBER() OVER (ORDER BY queued_ms, job_id) AS position,
+@query("queue_report", f"""SELECT job_id, position, {ms('ahead_s')} AS ahead_ms FROM (SELECT job_id, ROW_NUMBER() OVER (ORDER BY queued_ms, job_id) AS position,
   COALESCE(SUM(left_s) OVER (ORDER BY queued_ms, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT COALESCE(SUM(left_s), 0) FROM fx_jobs2 JOIN fx_left USING (job_id) WHERE status = 'running') AS ahead_s
-FROM fx_jobs2 JOIN fx_left USING (job_id) WHERE status = 'queued'""", **JV)
+FROM fx_jobs2 JOIN fx_left USING (job_id) WHERE status = 'queued')""", **JV)
 def _(t):
-    return ops.queue_report(jobs2(t), ops.time_left(jobs2(t), stages(t)))
+    return ops.queue_report(jobs2(t), ops.time_left(jobs2(t), stages(t))).selectExpr("job_id", "position", f"{ms('ahead_s')} AS ahead_ms")
 
 
 @query("orphan_keys", """SELECT 'd' || doc_id AS key, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")

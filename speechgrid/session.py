@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,16 +28,22 @@ def build_session(app: str = "speechgrid", master: str | None = None, shuffle_pa
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the folder the cluster names in ``spark.checkpoint.dir`` (shared storage, so it
-    outlives any executor). Only where that setting is absent, as in tests, a folder of the local warehouse is used."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def stage_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a fresh
+    folder under /tmp is used and remembered for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("speechgrid.stage.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("speechgrid.stage.dir", folder)
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back. This cuts the lineage where a result feeds
+    several branches (which would each compute it again), outlives any executor, keeps column pruning, and tells the
+    planner its true size."""
+    path = f"{stage_folder(df.sparkSession)}/speechgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
