@@ -137,22 +137,20 @@ def _clear_of_others(spans: DataFrame, others: DataFrame, key: list[str], by: li
     return interval_subtract(spans, cut, key)
 
 
-def _isolation(spans: DataFrame, others: DataFrame, by: list[str]) -> DataFrame:
-    """Spans with ``iso_ms``: distance to the nearest turn of another speaker, at most 2 s."""
+def _rated(spans: DataFrame, others: DataFrame, turns: DataFrame, by: list[str]) -> DataFrame:
+    """Spans with ``iso_ms``, the distance to the nearest turn of another speaker (at most 2 s), and ``voiced_ms``, the
+    speaker's own exclusive speech inside."""
+    spans = stage(spans)
     key = [*by, "speaker", "start_ms", "end_ms"]
-    wide = spans.select(*by, "speaker", F.col("start_ms").alias("__a"), F.col("end_ms").alias("__z"), (F.col("start_ms") - ISOLATION_CAP_MS).alias("start_ms"),
-                        (F.col("end_ms") + ISOLATION_CAP_MS).alias("end_ms")).distinct()
+    own = spans.select(*key).distinct()
+    wide = own.select(*by, "speaker", F.col("start_ms").alias("__a"), F.col("end_ms").alias("__z"), (F.col("start_ms") - ISOLATION_CAP_MS).alias("start_ms"),
+                      (F.col("end_ms") + ISOLATION_CAP_MS).alias("end_ms"))
     d = F.greatest(F.col("b_start_ms") - F.col("__z"), F.col("__a") - F.col("b_end_ms"), F.lit(0))
     near = (overlap_join(wide, others.select(*by, "speaker", "start_ms", "end_ms"), by).filter("speaker is distinct from b_speaker")
             .groupBy(*by, "speaker", F.col("__a").alias("start_ms"), F.col("__z").alias("end_ms")).agg(F.min(d).alias("__d")))
-    return spans.join(near, key, "left").withColumn("iso_ms", F.least(F.coalesce("__d", F.lit(ISOLATION_CAP_MS)), F.lit(ISOLATION_CAP_MS))).drop("__d")
-
-
-def _voiced(spans: DataFrame, turns: DataFrame, by: list[str]) -> DataFrame:
-    """Spans with ``voiced_ms``: the speaker's own exclusive speech inside."""
-    key = [*by, "speaker", "start_ms", "end_ms"]
-    v = overlap_join(spans.select(*key).distinct(), turns.select(*by, "speaker", "start_ms", "end_ms"), [*by, "speaker"]).groupBy(*key).agg(F.sum("overlap_ms").alias("__v"))
-    return spans.join(v, key, "left").withColumn("voiced_ms", F.coalesce("__v", F.lit(0))).drop("__v")
+    v = overlap_join(own, turns.select(*by, "speaker", "start_ms", "end_ms"), [*by, "speaker"]).groupBy(*key).agg(F.sum("overlap_ms").alias("__v"))
+    x = spans.join(near, key, "left").join(v, key, "left")
+    return x.withColumns({"iso_ms": F.least(F.coalesce("__d", F.lit(ISOLATION_CAP_MS)), F.lit(ISOLATION_CAP_MS)), "voiced_ms": F.coalesce("__v", F.lit(0))}).drop("__d", "__v")
 
 
 def _score(ms: Column, sat: int) -> Column:
@@ -180,7 +178,7 @@ def reference_clips(turns: DataFrame, others: DataFrame | None = None, by: list[
     t = t.withColumns({"__t": F.col("start_ms"), "start_ms": F.col("start_ms") + guard_ms, "end_ms": F.col("end_ms") - guard_ms})
     x = _clear_of_others(t, others, [*by, "speaker", "__t"], by, guard_ms).drop("__t")
     x = interval_split(_early_late(x, avoid_ms), max_ms).drop("piece").filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
-    x = _isolation(x, others, by).withColumn("score", _score(F.col("end_ms") - F.col("start_ms"), LENGTH_SAT_MS))
+    x = _rated(x, others, turns, by).withColumn("score", _score(F.col("end_ms") - F.col("start_ms"), LENGTH_SAT_MS))
     w = Window.partitionBy(*by, "speaker").orderBy("late", F.desc("score"), "start_ms", "end_ms")
     most = -(-target_ms // min_ms)  # every clip lasts min_ms, so no more can be taken: the ranking keeps only these
     x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
@@ -193,17 +191,18 @@ def clean_stretches(turns: DataFrame, blocks: DataFrame, others: DataFrame | Non
     the pauses' midpoints inside: (by, speaker, start_ms, end_ms, pauses)."""
     others = turns if others is None else others
     k = [*by, "speaker"]
-    x = scan(turns.select(*k, "start_ms", "end_ms"), k, ["start_ms", "end_ms"], bucket_of("start_ms", CHUNK), __top=running_max("end_ms"))
+    x = stage(scan(turns.select(*k, "start_ms", "end_ms"), k, ["start_ms", "end_ms"], bucket_of("start_ms", CHUNK), __top=running_max("end_ms")))
     gap = x.select(*k, F.col("__top").alias("__a"), F.col("start_ms").alias("__s"), "end_ms").filter((F.col("__s") > F.col("__a")) & (F.col("__s") - F.col("__a") <= BRIDGE_MS))
     ok = is_covered(gap.select(*by, "speaker", F.col("__a").alias("start_ms"), F.col("__s").alias("end_ms")), coverage(blocks, by), ["speaker", "end_ms"], by)
     ok = ok.filter("covered").select(*k, F.col("end_ms").alias("start_ms")).distinct().withColumn("__ok", F.lit(True))
     x = x.join(ok, [*k, "start_ms"], "left")
     joined = F.col("__top").isNotNull() & ((F.col("start_ms") <= F.col("__top")) | F.coalesce("__ok", F.lit(False)))
     mid = F.when(joined & (F.col("start_ms") > F.col("__top")), F.expr("(__top + start_ms) div 2"))
-    x = scan(x.withColumns({"__new": F.when(joined, 0).otherwise(1), "__mid": mid}), k, ["start_ms", "end_ms"], bucket_of("start_ms", CHUNK), __run=running_sum("__new"))
+    x = stage(scan(stage(x.withColumns({"__new": F.when(joined, 0).otherwise(1), "__mid": mid})), k, ["start_ms", "end_ms"], bucket_of("start_ms", CHUNK),
+                   __run=running_sum("__new")))
     runs = x.groupBy(*k, "__run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     pauses = x.filter("__mid is not null").select(*k, "__run", "__mid")
-    free = _clear_of_others(runs, others, [*k, "__run"], by, guard_ms)
+    free = stage(_clear_of_others(runs, others, [*k, "__run"], by, guard_ms))
     hit = (free.join(pauses, [*k, "__run"]).filter((F.col("__mid") > F.col("start_ms")) & (F.col("__mid") < F.col("end_ms")))
            .groupBy(*k, "start_ms", "end_ms").agg(F.sort_array(F.collect_list("__mid")).alias("pauses")))
     return (free.drop("__run").join(hit, [*k, "start_ms", "end_ms"], "left")
@@ -216,7 +215,7 @@ def span_candidates(stretches: DataFrame, turns: DataFrame, others: DataFrame, b
     size_min = min(min_ms, length_ms)
     x = _early_late(stretches, avoid_ms).filter(F.col("end_ms") - F.col("start_ms") >= size_min)
     x = candidate_windows(x, length_ms, size_min, "pauses").select(*by, "speaker", "late", "start_ms", "end_ms")
-    x = _voiced(_isolation(x, others, by), turns, by)
+    x = _rated(x, others, turns, by)
     return x.withColumn("score", F.round(_score(F.col("voiced_ms"), length_ms), 6))
 
 
@@ -261,7 +260,7 @@ def clean_clips(stretches: DataFrame, turns: DataFrame, others: DataFrame, by: l
     """Clean clips of each speaker, best first, ``total_ms`` in all at most; the last is trimmed about its middle when at least
     ``min_ms`` of room is left: (by, speaker, rank, start_ms, end_ms)."""
     x = interval_split(_early_late(stretches.drop("pauses"), avoid_ms), CLEAN_MAX_MS).drop("piece").filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
-    x = _voiced(_isolation(x, others, by), turns, by).withColumn("score", F.round(_score(F.col("voiced_ms"), LENGTH_SAT_MS), 6))
+    x = _rated(x, others, turns, by).withColumn("score", F.round(_score(F.col("voiced_ms"), LENGTH_SAT_MS), 6))
     w = Window.partitionBy(*by, "speaker").orderBy("late", F.desc("score"), "start_ms", "end_ms")
     x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= -(-total_ms // min_ms))
     room = total_ms - F.coalesce(F.sum(F.col("end_ms") - F.col("start_ms")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
