@@ -112,14 +112,14 @@ def normalize_numbers(text) -> Column:
 
     gaps = F.split(t, pat, -1)
     nums = F.regexp_extract_all(t, F.lit(pat), F.lit(0))
-    joined = F.array_join(F.zip_with(gaps, nums, lambda g, n: F.concat(F.coalesce(g, F.lit("")), F.coalesce(said(n), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps, nums, lambda g, n: F.concat(F.coalesce(g, F.lit("")), F.when(n.isNull(), F.lit("")).otherwise(said(n)))), "")
     done = F.when(F.rlike(t, F.lit("\\d")), joined).otherwise(t)
     return F.trim(F.regexp_replace(done, "\\s{2,}", " "))
 
 
 def spoken_units(text) -> Column:
     """Speaking length of a Telugu line, its digits spoken."""
-    return let(normalize_numbers(text), count_aksharas)
+    return let(normalize_numbers(text), lambda t: count_aksharas(t))
 
 
 def mixed_units(text) -> Column:

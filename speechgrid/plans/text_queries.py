@@ -147,7 +147,7 @@ h AS (SELECT n, CASE WHEN n < 100 THEN (SELECT w FROM b WHERE b.n = k.n) WHEN n
   WHEN n % 100 = 0 THEN (SELECT w FROM b WHERE b.n = k.n // 100) || ' వందలు' ELSE (SELECT w FROM b WHERE b.n = k.n // 100) || ' వందల ' || (SELECT w FROM b WHERE b.n = k.n % 100) END AS w
   FROM (SELECT unnest(range(0, 1000)) AS n) k)
 SELECT media_id, id, z.n, CASE WHEN z.n < 1000 THEN h.w WHEN z.n < 2000 THEN 'వెయ్యి' ELSE q.w || CASE WHEN z.n % 1000 = 0 THEN ' వేలు' ELSE ' వేల' END END
-  || CASE WHEN z.n >= 1000 AND z.n % 1000 > 0 THEN ' ' || h.w ELSE '' END || ' రూపాయలు, సున్నా పాయింట్ ఐదు సున్నా శాతం.' AS spoken
+  || CASE WHEN z.n >= 1000 AND z.n % 1000 > 0 THEN ' ' || h.w ELSE '' END || ' రూపాయలు సున్నా పాయింట్ ఐదు సున్నా శాతం.' AS spoken
 FROM (SELECT media_id, id, (id * 7 + conf_sum) % 90000 AS n FROM fx_units) z LEFT JOIN h ON h.n = z.n % 1000 LEFT JOIN b q ON q.n = z.n // 1000""".format(
     units=", ".join(f"({i}, '{w}')" for i, w in enumerate(tx.UNITS)), tens=", ".join(f"({i}, '{w}')" for i, w in enumerate(tx.TENS, 2))))
 def _(t):
