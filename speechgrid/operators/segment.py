@@ -291,10 +291,9 @@ def _collected(words: DataFrame, turns: DataFrame, chunks: DataFrame, by: list[s
     """One row per chunk: W (its words), T (exclusive turns clipped to it), O (overlapping turns), Q (whether the word before it
     asks)."""
     own = own_words(words.select(*by, "idx", "word", "start_ms", "end_ms", "conf"), chunks, by)
-    own = scan(own, by, ["idx"], F.expr("idx div 4096"), __pq=prev("word"))
     f = word_flags(own, lex)
     rows = F.array_sort(F.collect_list(F.struct("idx", "word", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "conf", *FLAGS)))
-    g = f.groupBy(*by, "chunk_no").agg(rows.alias("W"), F.min_by(F.struct(wr.question("__pq").alias("q"), F.col("__pq").alias("w")), "idx").alias("__q"))
+    g = f.groupBy(*by, "chunk_no").agg(rows.alias("W"))
     span = chunks.select(*by, "chunk_no", F.col("a_ms").alias("start_ms"), F.col("b_ms").alias("end_ms"))
 
     def turns_of(t: DataFrame, name: str) -> DataFrame:
@@ -307,9 +306,11 @@ def _collected(words: DataFrame, turns: DataFrame, chunks: DataFrame, by: list[s
         x = x.withColumn("O", F.col("T"))
     else:
         x = x.join(turns_of(overlaps, "O"), [*by, "chunk_no"], "left")
+    # Whether the word before the chunk asks; before the first of all there is nothing to answer.
+    q = scan(f.groupBy(*by, "chunk_no").agg(F.max_by("asks", "idx").alias("__a")), by, ["chunk_no"], F.expr("chunk_no div 4096"), Q=prev("__a"))
+    x = x.join(q.select(*by, "chunk_no", "Q"), [*by, "chunk_no"])
     none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,speaker:string>>)")
-    # Before the first word of all there is nothing to answer.
-    return x.withColumns({"T": F.coalesce("T", none), "O": F.coalesce("O", none), "Q": F.coalesce("__q.q", F.lit(False))}).drop("__q")
+    return x.withColumns({"T": F.coalesce("T", none), "O": F.coalesce("O", none), "Q": F.coalesce("Q", F.lit(False))})
 
 
 def label_chunks(words: DataFrame, turns: DataFrame, chunks: DataFrame, by: list[str] = M, overlaps: DataFrame | None = None, rules: Rules = RULES,

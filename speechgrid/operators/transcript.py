@@ -99,12 +99,12 @@ def chunk_cuts(words: DataFrame, by: list[str] = ["media_id"], chunk_ms: int = 6
 
 
 def own_words(words: DataFrame, chunks: DataFrame, by: list[str] = ["media_id"], slack_ms: int = 50) -> DataFrame:
-    """Words with the chunk that owns them: they start no more than ``slack_ms`` before it and end by its cut. A word both
-    of two chunks could own goes to the earlier one."""
+    """Words with the chunk that owns them: they end by its cut (and after the cut before) and start no more than ``slack_ms``
+    before it."""
     c = chunks.select(*by, "chunk_no", F.col("a_ms").alias("start_ms"), F.col("b_ms").alias("end_ms"))
     j = point_join(words, c, by, "end_ms").filter(
-        (F.col("end_ms") <= F.col("b_end_ms")) & (F.col("start_ms") >= F.col("b_start_ms") - slack_ms))
-    return (j.groupBy(*[c for c in words.columns]).agg(F.min("b_chunk_no").alias("chunk_no")))
+        (F.col("end_ms") > F.col("b_start_ms")) & (F.col("start_ms") >= F.col("b_start_ms") - slack_ms))
+    return j.select(*words.columns, F.col("b_chunk_no").alias("chunk_no"))
 
 
 def uncovered_speech(words: DataFrame, turns: DataFrame, by: list[str] = ["media_id"], min_ms: int = 800) -> DataFrame:
