@@ -44,7 +44,7 @@ def _(t):
 USE_SPANS = f"""SELECT media_id, provider, model, call, GREATEST(0, t_ms - wall_ms) AS start_ms, LEAST({NOW}, t_ms) AS end_ms FROM fx_calls WHERE wall_ms > 0 AND t_ms - wall_ms < {NOW}"""
 CALLS = """SELECT * REPLACE (COALESCE(provider, 'legacy') AS provider, COALESCE(call, 'unknown') AS call, wall_ms * 20 AS wall_ms) FROM fx_runs WHERE event = 'claude'"""
 UKEY = "media_id, provider, model, call"
-USAGE = f"""SELECT a.*, COALESCE(u.active_ms, 0) AS active_ms, COALESCE(e.errors, MAP {{}}) AS errors FROM (SELECT *, cached_tokens::DOUBLE / total_input_tokens AS cached_fraction FROM (
+USAGE = f"""SELECT a.*, COALESCE(u.active_ms, 0) AS active_ms, COALESCE(e.errors, MAP {{}}) AS errors FROM (SELECT *, CASE WHEN total_input_tokens > 0 THEN cached_tokens::DOUBLE / total_input_tokens END AS cached_fraction FROM (
  SELECT *, CASE WHEN provider = 'codex' THEN input_tokens WHEN provider = 'claude' OR model LIKE 'claude-%' THEN input_tokens + cached_tokens + made END AS total_input_tokens FROM (
  SELECT {UKEY}, COUNT(*) AS calls, quantile_cont(wall_ms, 0.5) AS p50_ms, MAX(wall_ms) AS max_ms, COUNT(*) FILTER (error IS NULL) AS successful_calls,
    quantile_cont(wall_ms, 0.5) FILTER (error IS NULL) AS successful_p50_ms, MAX(wall_ms) FILTER (error IS NULL) AS successful_max_ms, CAST(SUM(wall_ms) AS BIGINT) AS summed_ms,
