@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import last_seen, scan
 from ..functions.spans import bucket_of, buckets, overlap_join, point_join
+from ..session import stage
 
 UNION_BUCKET_MS = 600_000
 MIN_PIECE_MS = 20
@@ -192,12 +193,13 @@ def nearest_turn(points: DataFrame, turns: DataFrame, at: str, key: list[str], b
         inside = (F.col("b_start_ms") <= t) & (t <= F.col("b_end_ms"))
         rank = F.struct(F.when(inside, F.col("b_start_ms") - F.col("b_end_ms")).otherwise(F.lit(1).cast("bigint")), d)
         tail = F.col("b_start_ms")
-    ranked = j.select(*by, *key, F.col("b_speaker").alias("spk"), rank.alias("rank"), tail.alias("tail"))
-    top = ranked.groupBy(*by, *key).agg(F.min("rank").alias("rank"))
-    tied = (ranked.join(top, [*by, *key, "rank"]).groupBy(*by, *key)
-            .agg(F.min_by("spk", F.struct("tail", "spk")).alias("__pick"), F.collect_set("spk").alias("__tied")))
-    x = points.join(tied, [*by, *key], "left")
-    x = x.withColumn("__sure", F.when(F.size("__tied") == 1, F.col("__pick")))
+    # First the best row of each speaker near a point, then the speakers sharing the best rank: one shuffle by point.
+    near = (j.select(*by, *key, F.col("b_speaker").alias("spk"), rank.alias("rank"), tail.alias("tail"))
+            .groupBy(*by, *key, "spk").agg(F.min(F.struct("rank", "tail")).alias("m")))
+    cand = near.groupBy(*by, *key).agg(F.min("m.rank").alias("__r"), F.collect_list(F.struct(F.col("m.rank").alias("rank"), F.col("m.tail").alias("tail"), "spk")).alias("__c"))
+    tied = cand.withColumn("__c", F.array_sort(F.filter("__c", lambda c: c["rank"] == F.col("__r")))).select(
+        *by, *key, F.expr("__c[0].spk").alias("__pick"), F.transform("__c", lambda c: c["spk"]).alias("__tied"))
+    x = stage(points.join(tied, [*by, *key], "left").withColumn("__sure", F.when(F.size("__tied") == 1, F.col("__pick"))))
     x = scan(x, by, [at, *key], bucket_of(at, chunk_ms), __prev=last_seen("__sure", inclusive=False))
     x = x.withColumn("__s1", F.when(F.array_contains("__tied", F.col("__prev")), F.col("__prev"))
                      .otherwise(F.col("__pick")))

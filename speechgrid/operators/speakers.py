@@ -40,13 +40,13 @@ def link_speakers(blocks: DataFrame, turns: DataFrame, centroids: DataFrame, by:
     All interval work is joined and summed first: a label's talk, its new speech outside earlier blocks, and the speech it
     shares with each earlier label. What is left is one short row per label and block; each block depends on the ids given
     before it, so those rows fold in block order, per recording."""
-    t = interval_clip_to_block(turns, blocks, by)
+    t = stage(interval_clip_to_block(turns, blocks, by))
     earlier = overlap_join(blocks, blocks, by).filter("b_block_no < block_no").select(
         *by, "block_no", F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms"))
     fresh = interval_subtract(blocks.select(*by, "block_no", "start_ms", "end_ms"), earlier, [*by, "block_no"])
     new = overlap_join(t, fresh, [*by, "block_no"]).select(
         *by, "block_no", "label", F.greatest("start_ms", "b_start_ms").alias("start_ms"), F.least("end_ms", "b_end_ms").alias("end_ms"))
-    new = new.filter(F.col("end_ms") - F.col("start_ms") >= MIN_PIECE_MS)
+    new = stage(new.filter(F.col("end_ms") - F.col("start_ms") >= MIN_PIECE_MS))
     talk = t.groupBy(*by, "block_no", "label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("talk_ms"))
     first = new.groupBy(*by, "block_no", "label").agg(F.min("start_ms").alias("first_ms"))
     pairs = (overlap_join(t, new, by).filter("b_block_no < block_no").groupBy(*by, "block_no", "label", "b_block_no", "b_label")

@@ -138,7 +138,7 @@ def repeated_phrases(words: DataFrame, by: list[str] = ["media_id"], max_n: int
         cover = F.expr(f"((__s{n} - idx) div {n} + 1) * {n}")
         best = F.greatest(best, F.when((cover >= max(min_words, 2 * n)), cover).otherwise(F.lit(0)))
     # The text's last word never matches anything ahead, so every place has a stop.
-    c = x.withColumn("__best", best).select(*by, "idx", "__best").filter("__best > 0")
+    c = stage(x.withColumn("__best", best).select(*by, "idx", "__best").filter("__best > 0"))  # places inside loops: few
     island = interval_union(c.select(*by, F.col("idx").alias("start_ms"), (F.col("idx") + F.col("__best")).alias("end_ms")),
                             by, touch=False, bucket_ms=4096)
     j = point_join(c, island, by, "idx", width=4096).filter("idx < b_end_ms")

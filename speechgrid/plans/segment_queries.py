@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import segment as sg
-from ..session import stage
 from .registry import query
 
 M = ["media_id"]
 
 
 def words(t):
-    """The transcript as a stored table, as a library would keep it."""
-    if "transcript" not in t.__dict__:
-        t.transcript = stage(t.words)
-    return t.transcript.selectExpr("media_id", "idx", "word", "start_ms", "end_ms", "conf_pct / 100D AS conf")
+    return t.words.selectExpr("media_id", "idx", "word", "start_ms", "end_ms", "conf_pct / 100D AS conf")
 
 
 def chunks(t):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import frames as fr
@@ -301,12 +302,12 @@ TF = dict(fx_take=TAKE, fx_loud=TAKE_FRAMES, fx_frame10=FULL_FRAMES, fx_pause=PA
 
 
 def take_frames(t):
-    w = t.words.filter("pos < 60")
-    s = w.groupBy("media_id", F.col("turn").alias("take")).agg(F.expr("min(start_ms) div 10 - 7").alias("a"), F.expr("max(end_ms) div 10 + 30").alias("b"))
-    loud = (w.selectExpr("media_id", "turn AS take", "explode(sequence(start_ms div 10, end_ms div 10 - 1)) AS f").distinct())
-    every = s.selectExpr("media_id", "take", "a", "explode(sequence(a, b - 1)) AS f")
-    return (every.join(loud.withColumn("v", F.lit(0.5)), ["media_id", "take", "f"], "left")
-            .selectExpr("media_id", "take", "f - a AS frame_no", "coalesce(v, 0.0D) AS value"))
+    """Each word brings the silence before it and its own loud frames; the last one the silence after it."""
+    w = Window.partitionBy("media_id", "turn").orderBy("pos")  # the first sixty words of one turn
+    x = t.words.filter("pos < 60").withColumns({"pe": F.lag("end_ms").over(w), "more": F.lead("pos").over(w), "a": F.min("start_ms").over(w)})
+    x = x.selectExpr("media_id", "turn AS take", "a div 10 - 7 AS a", "start_ms div 10 AS s", "end_ms div 10 AS e",
+                     "explode(sequence(coalesce(pe div 10, a div 10 - 7), end_ms div 10 - 1 + if(more is null, 30, 0))) AS f")
+    return x.selectExpr("media_id", "take", "f - a AS frame_no", "if(f >= s and f < e, 0.5D, 0.0D) AS value")
 
 
 def totals(frames):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scan import running_sum, scan
+from ..session import stage
 
 
 class Tables:
@@ -37,10 +38,11 @@ class Tables:
             "(pos * 137 + turn * 59) % 400 + if(pos % 17 = 0, 900, 0) + if(pos % 41 = 40, 1200, 0)"))
         m = scan(m, ["media_id"], ["turn", "pos"], F.col("turn"), e=running_sum(F.col("gap") + F.col("dur")),
                  n=running_sum(F.lit(1).cast("bigint")))
-        return m.select("media_id", (F.col("n") - 1).alias("idx"), "turn", "pos", "speaker", "word",
+        # Kept as a stored table, as a library keeps its transcripts: most queries read it several times.
+        return stage(m.select("media_id", (F.col("n") - 1).alias("idx"), "turn", "pos", "speaker", "word",
                         (F.col("e") - F.col("dur")).cast("bigint").alias("start_ms"),
                         F.col("e").cast("bigint").alias("end_ms"),
-                        F.expr("cast((pos * 37 + length(word) * 11 + turn * 7) % 100 as int)").alias("conf_pct"))
+                        F.expr("cast((pos * 37 + length(word) * 11 + turn * 7) % 100 as int)").alias("conf_pct")))
 
     @cached_property
     def turns(self) -> DataFrame:
