@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pace as model
 from ..functions.scan import following, prev, running_max, scan
 from ..functions.spans import bucket_of, overlap_join, point_join
 from .intervals import interval_length, interval_union, rolling_load, shared_length
 
+cloudpickle.register_pickle_by_value(model)
+
 CHUNK = 600_000
 M = ["media_id"]
 
@@ -243,45 +247,17 @@ def dub_metrics(lines: DataFrame, by: list[str] = M, band: tuple[float, float] =
                               F.avg(F.when(rate.between(*band), 1.0).otherwise(0.0)).alias("rate_in_band_share"))
 
 
-# Fixed values of the pace model: prior rate and overhead, clamps, robustness and forgetting, prior covariance.
-RATE0, OVERHEAD0 = 6.1, 0.15
-RATE_MIN, RATE_MAX, OVERHEAD_MAX = 1.5, 20.0, 1.0
-HUBER_S, FORGETTING = 0.35, 0.98
-PRIOR_P = (0.5, 0.0, 0.0, 0.01)
-# End of fixed values.
-
-
 def online_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[str] = ["at"]) -> DataFrame:
     """Pace of each voice after its takes in order: robust recursive least squares of seconds on units, with forgetting.
-    ``takes(voice, order, units, seconds)`` -> (voice, rate, overhead, n). One ordered fold per voice over two doubles a
-    take; a voice's takes are the lines one speaker's clone said."""
-    arr = F.array_sort(F.collect_list(F.struct(*order, F.col("units").cast("double").alias("u"), F.col("seconds").cast("double").alias("s"))))
-    zero = F.struct(F.lit(1 / RATE0).alias("inv"), F.lit(OVERHEAD0).alias("ov"), *[F.lit(v).alias(f"p{i}") for i, v in enumerate(PRIOR_P)],
-                    F.lit(0).cast("bigint").alias("n"))
-
-    def let(values: Column, fn):
-        """Evaluate ``values`` once, then ``fn`` on it."""
-        return F.element_at(F.transform(F.array(values), fn), 1)
-
-    def step(m: Column, t: Column) -> Column:
-        err = t["s"] - (m["ov"] + t["u"] * m["inv"])
-        a = F.struct(err.alias("err"), F.when(F.abs(err) <= HUBER_S, 1.0).otherwise(F.lit(HUBER_S) / F.abs(err)).alias("w"),
-                     (m["p0"] + m["p1"] * t["u"]).alias("x0"), (m["p2"] + m["p3"] * t["u"]).alias("x1"))
-
-        def gain(v: Column) -> Column:
-            den = F.lit(FORGETTING) / v["w"] + v["x0"] + t["u"] * v["x1"]
-            return let(F.struct((v["x0"] / den).alias("k0"), (v["x1"] / den).alias("k1")), lambda k: F.struct(
-                F.least(F.greatest(m["inv"] + k["k1"] * v["err"], F.lit(1 / RATE_MAX)), F.lit(1 / RATE_MIN)).alias("inv"),
-                F.least(F.greatest(m["ov"] + k["k0"] * v["err"], F.lit(0.0)), F.lit(OVERHEAD_MAX)).alias("ov"),
-                ((m["p0"] - k["k0"] * v["x0"]) / FORGETTING).alias("p0"), ((m["p1"] - k["k0"] * v["x1"]) / FORGETTING).alias("p1"),
-                ((m["p2"] - k["k1"] * v["x0"]) / FORGETTING).alias("p2"), ((m["p3"] - k["k1"] * v["x1"]) / FORGETTING).alias("p3"),
-                (m["n"] + 1).alias("n")))
-        return let(a, gain)
-
-    g = takes.groupBy(*voice).agg(arr.alias("ts"))
-    m = F.aggregate("ts", zero, step)
-    return g.select(*voice, m.alias("m")).select(*voice, (1 / F.greatest(F.col("m.inv"), F.lit(1e-3))).alias("rate"),
-                                                 F.col("m.ov").alias("overhead"), F.col("m.n").alias("n"))
+    ``takes(voice, order, units, seconds)`` -> (voice, rate, overhead, n).
+
+    Each take changes how the next one counts, so a voice's takes are read in order; they are sorted by the shuffle (which
+    spills) and streamed past one small model, never gathered."""
+    t = takes.schema
+    x = takes.select(*voice, *order, F.col("units").cast("double").alias("units"), F.col("seconds").cast("double").alias("seconds"))
+    out = ", ".join([*(f"{v} {t[v].dataType.simpleString()}" for v in voice), "rate double", "overhead double", "n bigint"])
+    names = list(voice)
+    return x.repartition(*voice).sortWithinPartitions(*voice, *order).mapInPandas(lambda b: model.fold(b, names), out)
 
 
 def calibrate_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[str] = ["at"]) -> DataFrame:
@@ -292,9 +268,9 @@ def calibrate_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[s
     g = takes.groupBy(*voice).agg(F.count("*").alias("n"), F.regr_slope(s, u).alias("inv0"), F.regr_intercept(s, u).alias("ov0"),
                                   F.sum(u).alias("su"), F.sum(s).alias("ss"), F.sum(u * u).alias("suu"), F.sum(u * s).alias("sus"),
                                   (F.min(u) < F.max(u)).alias("direct"))
-    ov = F.least(F.greatest("ov0", F.lit(0.0)), F.lit(OVERHEAD_MAX))
-    inv = F.when(F.col("ov0").between(0.0, OVERHEAD_MAX), F.col("inv0")).otherwise((F.col("sus") - ov * F.col("su")) / F.col("suu"))
-    inv = F.least(F.greatest(inv, F.lit(1 / RATE_MAX)), F.lit(1 / RATE_MIN))
+    ov = F.least(F.greatest("ov0", F.lit(0.0)), F.lit(model.OVERHEAD_MAX))
+    inv = F.when(F.col("ov0").between(0.0, model.OVERHEAD_MAX), F.col("inv0")).otherwise((F.col("sus") - ov * F.col("su")) / F.col("suu"))
+    inv = F.least(F.greatest(inv, F.lit(1 / model.RATE_MAX)), F.lit(1 / model.RATE_MIN))
     fit = g.filter("direct").select(*voice, (1 / inv).alias("rate"), ov.alias("overhead"), "n")
     one = takes.join(g.filter("not direct").select(*voice), voice, "left_semi")
     return fit.unionByName(online_pace(one, voice, order))
@@ -302,7 +278,7 @@ def calibrate_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[s
 
 def estimate_duration(lines: DataFrame, pace: DataFrame, voice: list[str] = ["voice"], units: str = "units") -> DataFrame:
     """Lines with ``est_s``: overhead + units / rate, at least 0.05 s; a voice not yet heard takes the prior."""
-    x = lines.join(pace.select(*voice, "rate", "overhead"), voice, "left").na.fill({"rate": RATE0, "overhead": OVERHEAD0})
+    x = lines.join(pace.select(*voice, "rate", "overhead"), voice, "left").na.fill({"rate": model.RATE0, "overhead": model.OVERHEAD0})
     return x.withColumn("est_s", F.greatest(F.col("overhead") + F.col(units) / F.col("rate"), F.lit(0.05)))
 
 

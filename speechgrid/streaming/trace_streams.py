@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from . import pace
+from ..functions import pace
 
 cloudpickle.register_pickle_by_value(pace)
 
