@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,8 @@ LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
     SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""")
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents"), keep="max")
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(read(spark, folder, "documents"))
