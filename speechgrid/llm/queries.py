@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
+from .secrets import secret_scan
 from .simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +40,13 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(read(spark, folder, "documents"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(read(spark, folder, "documents"))
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(read(spark, folder, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
