@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
+from .pieces import piece_encode
 from .secrets import secret_scan
 from .simhash import simhash_groups
 
@@ -50,3 +51,8 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan(read(spark, folder, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
+@query("op5_piece_encode")
+def op5_piece_encode(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_encode(read(spark, folder, "documents"), full=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

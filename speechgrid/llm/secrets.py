@@ -62,7 +62,7 @@ class Novelty:
 
     def compressor(self, around: bytes):
         primed = self.zstd.ZstdCompressionDict(self.names + b"\n" + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        return self.zstd.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return self.zstd.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def marginal(self, text: str, start: int, end: int) -> float:
         """Compressed bytes that the span adds, for each of its characters."""
@@ -119,7 +119,7 @@ def _scan(with_text: bool, by: str, *args):
     return each
 
 
-def secret_scan(docs: DataFrame, identifiers: str | None = None, window: int = 2048, reach: int = 80, least: float = 0.6, with_text: bool = False, by: str = "[SECRET]",
+def secret_scan(docs: DataFrame, identifiers: str | None = None, window: int = 2048, reach: int = 80, least: float = 0.75, with_text: bool = False, by: str = "[SECRET]",
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: counts of each kind, the digest of the base spans, all ``spans`` as ``kind:start:end`` (code points, end
     exclusive), and ``masked``, the text with its spans replaced by ``by`` (null without ``with_text``, or where nothing is found).
