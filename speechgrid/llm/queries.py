@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
+from .packing import pack
 from .pieces import piece_encode
 from .secrets import secret_scan
 from .simhash import simhash_groups
@@ -56,3 +57,8 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_piece_encode")
 def op5_piece_encode(spark: SparkSession, folder: str) -> DataFrame:
     return piece_encode(read(spark, folder, "documents"), full=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op4_pack")
+def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"))
