@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality
 from .common import read
 from .exact_dedup import exact_dedup
+from .language import identify, learn
 from .licenses import license_scan
 from .packing import pack
 from .pieces import piece_encode
@@ -62,3 +65,28 @@ def op5_piece_encode(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_pack")
 def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"))
+
+
+def fold(parts: int):
+    """The fold of a document by its id."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def language_model(docs: DataFrame):
+    """Learnt from the labelled rows outside the held-out fold."""
+    return learn(docs.filter(fold(5) != 0))
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = identify(docs, language_model(docs))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = quality.learn(docs, read(spark, folder, "labels").filter(fold(3) != 1))
+    found = quality.quality_scores(docs, model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
