@@ -12,6 +12,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .language import identify, learn
 from .licenses import license_scan
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .pieces import piece_encode
 from .secrets import secret_scan
@@ -90,3 +91,9 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.learn(docs, read(spark, folder, "labels").filter(fold(3) != 1))
     found = quality.quality_scores(docs, model)
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op2_nearest")
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
