@@ -15,6 +15,7 @@ from .licenses import license_scan
 from .neighbours import nearest_neighbours
 from .packing import pack
 from .pieces import piece_encode
+from .quotes import reply_order
 from .secrets import secret_scan
 from .simhash import simhash_groups
 
@@ -97,3 +98,8 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read(spark, folder, "embeddings")
     return nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op6_reply_order")
+def op6_reply_order(spark: SparkSession, folder: str) -> DataFrame:
+    return reply_order(read(spark, folder, "conversations"))
