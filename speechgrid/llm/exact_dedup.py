@@ -14,8 +14,9 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, id_and_text, utf8
 
@@ -145,3 +146,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .mapInArrow(_own(largest), "sha binary, keep_id long, group_size long"))
     return rows.join(owners, "sha").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def _digested(at: int):
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        sha = [hashlib.sha256(t.lower()).digest() for t in utf8(b.column(at).fill_null(""))]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.binary())], names=[*b.schema.names, _DIGEST])
+    return each
+
+
+_DIGEST = "exact_dedup digest"
+
+
+def one_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows, with all their columns, that stay by ``exact_dedup``, each once: of rows that repeat id and text one stays, that
+    with the smallest other columns."""
+    owners = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("owner id"), F.unhex("text_sha256").alias("owner digest")).distinct()
+    rows = docs.mapInArrow(by_batch(_digested, docs.columns.index(text_col)), T.StructType([*docs.schema.fields, T.StructField(_DIGEST, T.BinaryType())]))
+    stay = rows.join(owners, (F.col(_DIGEST) == F.col("owner digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("owner id")), "left_semi")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)] or [id_col]
+    place = F.row_number().over(Window.partitionBy(_DIGEST, id_col).orderBy(*rest))
+    return stay.withColumn("exact_dedup place", place).filter(F.col("exact_dedup place") == 1).select(*docs.columns)

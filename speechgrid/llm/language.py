@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,7 +231,7 @@ def _char_counts():
     return run
 
 
-def learn(labelled: DataFrame, order: int = 5, fit_rows: int = 600, most_languages: int = 256, letters: int = 200, limit: float = 8.0,
+def learn(labelled: DataFrame, order: int = 5, fit_rows: int = 600, most_languages: int = 256, letters: int = 200, limit: float = 16.0,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the languages named in ``lang_col`` (the ``most_languages`` most frequent; rows without text or language are left
     out), counted on about ``fit_rows`` rows of each, chosen by a hash of the id; a fifth of them sets the confidence scale and the
@@ -293,7 +294,7 @@ def _calibrate(model: Model, held: list[tuple[int, int, np.ndarray]], limit: flo
         own = np.array([ce[i] for o, _, ce in held if o == i])
         own = own if len(own) >= 10 else everything
         model.mean[i] = own.mean()
-        model.spread[i] = limit * max(own.std(), 0.05)
+        model.spread[i] = limit * max(own.std(), 0.1)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_()), ("cross_entropy", pa.float64()), ("letters", pa.int64())])
@@ -330,3 +331,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     columns are ignored. No rows give no rows."""
     return id_and_text(docs, id_col, text_col).mapInArrow(
         by_batch(_predict, pickle.dumps(model) if model else None), "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double, letters long")
+
+
+def _accept(pickled: bytes | None, at: int):
+    predict = _predict(pickled)
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        text = b.column(at).fill_null("")
+        return b.filter(pa.compute.invert(predict(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), text], names=["doc_id", "text"])).column(3)))
+    return each
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not ``rejected`` by ``identify``."""
+    return docs.mapInArrow(by_batch(_accept, pickle.dumps(model) if model else None, docs.columns.index(text_col)), docs.schema)

@@ -130,3 +130,31 @@ def secret_scan(docs: DataFrame, identifiers: str | None = None, window: int = 2
     args = (with_text, by, default_identifiers() if identifiers is None else identifiers, window, reach, least)
     return id_and_text(docs, id_col, text_col).mapInArrow(
         by_batch(_scan, *args), "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, masked string")
+
+
+def _masking(at: int, size_at: int, by: str, *args):
+    novelty = _novelty(*args)
+
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, sizes = b.column(at).to_pylist(), b.column(size_at).to_pylist() if size_at >= 0 else []
+        for k, text in enumerate(texts):
+            if text:
+                base = base_spans(text)
+                spans = sorted([*base, *novelty.spans(text, base)])
+                if spans:
+                    texts[k] = mask(text, spans, by)
+                    if size_at >= 0:
+                        sizes[k] = len(texts[k])
+        columns = list(b.columns)
+        columns[at] = pa.array(texts, b.schema.field(at).type)
+        if size_at >= 0:
+            columns[size_at] = pa.array(sizes, b.schema.field(size_at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=b.schema)
+    return each
+
+
+def masked(docs: DataFrame, identifiers: str | None = None, window: int = 2048, reach: int = 80, least: float = 0.75, by: str = "[SECRET]", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with every span of ``secret_scan`` in the text replaced by ``by`` and, where that changes a text, its
+    length in ``size_col`` (if there is such a column) set anew. Null texts stay null."""
+    args = (default_identifiers() if identifiers is None else identifiers, window, reach, least)
+    return docs.mapInArrow(by_batch(_masking, docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else -1, by, *args), docs.schema)

@@ -29,24 +29,33 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 BITS = 64
 
 
-def fingerprint(text: bytes, size: int, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text; zero if it has no word."""
+def shingle_hashes(text: bytes, size: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``size`` words of the text with A-Z lowered, repeats included; of the whole sequence if it is shorter;
+    of nothing if it has no word."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - size + 1)
-    starts = [0, *ends[: n - 1].tolist()]
+    starts = [0, *ends[: max(0, len(words) - size)].tolist()]
     stops = (ends[size - 1:] - 1).tolist() if len(words) >= size else [len(line)]
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+    return np.array([h(line[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number of the bits set in over half of the hashes; zero without any."""
     counts = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, n, 65_536):
+    for k in range(0, len(hashes), 65_536):
         counts += np.unpackbits(hashes[k:k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: bytes, size: int, seed: int = 42) -> int:
+    """The signed 64-bit fingerprint of a UTF-8 text; zero if it has no word."""
+    return majority(shingle_hashes(text, size, seed))
 
 
 def _fingerprints(size: int):
