@@ -154,8 +154,8 @@ def with_neighbours(df: DataFrame, by: list[str], seq: str, size: int = 1024, **
 
 
 def walk(df: DataFrame, by: list[str], seq: str, jump: str, longest: int, size: int = 256, fan: int = 1024) -> DataFrame:
-    """The rows a pointer walk lands on: it starts at row 0 of each ``by`` and moves ``jump`` rows ahead (1..longest).
-    Returns (by, seq, jump) of the rows visited.
+    """The rows a pointer walk lands on: it starts at row 0 of each ``by`` and moves ``jump`` rows ahead (1..longest; a
+    longer jump raises). Returns (by, seq, jump) of the rows visited.
 
     Greedy grouping is such a walk, and it is sequential. Each block of ``size`` rows is summarised by where a walk
     entering at each of its first ``longest`` rows leaves it; the summaries compose, block by block, then over groups of
@@ -163,7 +163,8 @@ def walk(df: DataFrame, by: list[str], seq: str, jump: str, longest: int, size:
     assert longest <= size
     blocks = stage(df.groupBy(*by, F.expr(f"`{seq}` div {size}").alias("__k"))
                    .agg(F.array_sort(F.collect_list(F.struct(F.expr(f"`{seq}` % {size}").alias("p"), F.col(jump).alias("j"))))
-                        .alias("a")).withColumn("__j", F.expr("transform(a, x -> cast(x.j as int))")).drop("a"))
+                        .alias("a")).withColumn("__j", F.expr(
+                       f"transform(a, x -> if(x.j between 1 and {longest}, cast(x.j as int), raise_error('a jump outside 1 .. {longest}')))")).drop("a"))
     # Where a walk entering at row i leaves (rows into the next block), from the last row back.
     exits = (f"slice(aggregate(reverse(__j), cast(array() as array<int>), (m, j) -> concat(array("
              f"if(j > size(m), j - size(m) - 1, element_at(m, j))), m)), 1, {longest})")

@@ -75,7 +75,7 @@ def _scaled(v: Column, unit: int, words: tuple[str, str, str], many, rest) -> Co
 
 
 def number_words(n) -> Column:
-    """Spoken Telugu of a whole number from 0 to 10^14 - 1 (Indian grouping)."""
+    """Spoken Telugu of a whole number of any length, given as a number or as its digits (Indian grouping)."""
     def below_1000(v: Column) -> Column:
         one, one_more, many, many_more = HUNDRED
 
@@ -88,11 +88,20 @@ def number_words(n) -> Column:
     def below_crore(v: Column) -> Column:
         return _scaled(v, 100_000, LAKH, _below_100, lambda r: _scaled(r, 1_000, THOUSAND, _below_100, below_1000))
 
-    return _scaled(_c(n), 10_000_000, CRORE, below_crore, below_crore)
+    # Groups of seven digits from the right; each step says what stands before as so many crores, then the group.
+    digits = F.lpad(_c(n).cast("string"), (F.ceil(F.length(_c(n).cast("string")) / 7) * 7).cast("int"), "0")
+    groups = F.transform(F.sequence(F.lit(0), (F.length(digits) / 7).cast("int") - 1), lambda k: F.substr(digits, k * 7 + 1, F.lit(7)).cast("bigint"))
+    one, plural, joiner = CRORE
+
+    def step(so_far: Column, group: Column) -> Column:
+        crores = F.when(so_far["n"] == 1, F.lit(one)).when(so_far["n"] > 1, F.concat_ws(" ", so_far["said"], F.when(group == 0, F.lit(plural)).otherwise(F.lit(joiner))))
+        return F.struct(F.concat_ws(" ", crores, F.when((group > 0) | (so_far["n"] == 0), below_crore(group))).alias("said"),
+                        F.when(so_far["n"] == 0, F.least(group, F.lit(2))).otherwise(F.lit(2)).cast("bigint").alias("n"))
+    return F.aggregate(groups, F.struct(F.lit("").alias("said"), F.lit(0).cast("bigint").alias("n")), step, lambda x: x["said"])
 
 
 def normalize_numbers(text) -> Column:
-    """Digits, currency and percentages as spoken Telugu. Whole parts of more than 14 digits are read digit by digit."""
+    """Digits, currency and percentages as spoken Telugu."""
     t = F.translate(_c(text), TELUGU_DIGITS, "0123456789")
     pat = f"(?i)(?:{MONEY}{NUMBER}|{NUMBER}\\s?%|{NUMBER})"
 
@@ -103,8 +112,7 @@ def normalize_numbers(text) -> Column:
         num = F.regexp_extract(tok, NUMBER, 0)
         whole = F.replace(F.regexp_extract(num, "^[\\d,]+", 0), F.lit(","), F.lit(""))
         frac = F.regexp_extract(num, "\\.(\\d+)$", 1)
-        small = F.length(F.regexp_replace(whole, "^0+(?=\\d)", "")) <= 14
-        words = F.when(small, number_words(F.when(small, whole.try_cast("bigint")))).otherwise(digits(whole))
+        words = number_words(F.when(whole != "", F.regexp_replace(whole, "^0+(?=\\d)", "")))
         words = F.when(frac == "", words).otherwise(F.concat_ws(" ", words, F.lit(POINT), digits(frac)))
         sym = F.lower(F.regexp_extract(tok, "^([^\\d\\s.]+)", 1))
         unit = F.try_element_at(F.create_map(*[F.lit(x) for kv in CURRENCY.items() for x in kv]), sym)

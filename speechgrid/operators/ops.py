@@ -84,8 +84,8 @@ def stage_table(trace: DataFrame, now_ms: int, by: list[str] = M) -> DataFrame:
 
 
 def final_units(trace: DataFrame, by: list[str] = M) -> DataFrame:
-    """Latest unit per id, counted by voiced class and by who gave the verdict; skipped events counted:
-    (by, units, skipped, by_class MAP, by_source MAP)."""
+    """Latest unit per id, counted by voiced class and by who gave the verdict; skipped events counted, also where there is no
+    unit: (by, units, skipped, by_class MAP, by_source MAP)."""
     u = trace.filter("event = 'unit' and id is not null").groupBy(*by, "id").agg(
         F.max_by(F.struct(F.coalesce("coverage_voiced", F.lit("unknown")).alias("c"), F.coalesce("verdict_by", F.lit("unknown")).alias("v")),
                  F.struct("t_ms", "event_id")).alias("u"))
@@ -95,7 +95,7 @@ def final_units(trace: DataFrame, by: list[str] = M) -> DataFrame:
                 .agg(F.sum("n").alias("units"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)))
 
     s = trace.filter("event = 'skipped'").groupBy(*by).agg(F.count("*").alias("skipped"))
-    return hist("u.c", "by_class").join(hist("u.v", "by_source").drop("units"), by).join(s, by, "left").na.fill(0, ["skipped"])
+    return hist("u.c", "by_class").join(hist("u.v", "by_source").drop("units"), by).join(s, by, "full").na.fill(0, ["units", "skipped"])
 
 
 def gpu_work(trace: DataFrame, by: list[str] = M) -> DataFrame:
@@ -285,7 +285,7 @@ def blind_rows(rows: DataFrame, key: list[str], seed: int) -> DataFrame:
     ranges are ranked apart, so the numbering needs no global sort."""
     h = F.xxhash64(F.lit(seed), *key)
     x = rows.withColumn("__h", h)
-    return scan(x, [], ["__h", *key], F.shiftright("__h", 54), blind_id=running_sum(F.lit(1).cast("bigint"))).drop("__h")
+    return scan(x, [], ["__h", *key], F.shiftright("__h", 44), blind_id=running_sum(F.lit(1).cast("bigint"))).drop("__h")
 
 
 def ready_prefix(scenes: DataFrame, by: list[str] = M) -> DataFrame:

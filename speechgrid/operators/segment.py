@@ -257,7 +257,7 @@ def _absorb(groups: str, r: Rules) -> str:
     lo = "least(h, st.k)"
     merged = (f"concat(slice(st.gs, 1, {lo}), array(struct(st.gs[h].lab as lab, concat(st.gs[{lo}].ix, st.gs[{lo} + 1].ix) as ix)), slice(st.gs, {lo} + 3, size(st.gs)))")
     step = _let(_host(r), "h", f"if(h is null, struct(st.gs as gs, st.k + 1 as k), struct({merged} as gs, greatest({lo} - 1, 0) as k))")
-    return _let(groups, "ga", f"aggregate(sequence(1, 3 * size(ga) + 3), struct(ga as gs, 0 as k), (st, z) -> if(st.k >= size(st.gs), st, {step})).gs")
+    return _let(groups, "ga", f"aggregate(sequence(1, 3 * size(ga) + 3), struct(ga as gs, 0 as k), (st, z) -> if(st.k >= size(st.gs), st, {step}), st -> if(st.k >= size(st.gs), st.gs, raise_error('fragments were not all absorbed')))")
 
 
 def _rebalance(groups: str, r: Rules) -> str:
@@ -284,7 +284,7 @@ def _settle(r: Rules) -> str:
     """Absorb, re-cut and merge until nothing changes."""
     turn = _merge(_rebalance(_absorb("sv.gs", r), r), r)
     step = _let(turn, "nx", "struct(nx as gs, nx = sv.gs as done)")
-    return f"aggregate(sequence(1, 2 * size(GR) + 2), struct(GR as gs, false as done), (sv, zz) -> if(sv.done, sv, {step})).gs"
+    return f"aggregate(sequence(1, 2 * size(GR) + 4), struct(GR as gs, false as done), (sv, zz) -> if(sv.done, sv, {step}), sv -> if(sv.done, sv.gs, raise_error('groups did not settle')))"
 
 
 def _collected(words: DataFrame, turns: DataFrame, chunks: DataFrame, by: list[str], overlaps: DataFrame | None, lex: Lexicon) -> DataFrame:
@@ -377,7 +377,7 @@ def join_seams(units: DataFrame, by: list[str] = M, max_ms: int = 20_000, gap_ms
     anchors are shifted and the seam added; ids are given in onset order.
 
     How far a joined unit starting at each unit would reach is known from the next place that must part and from the length
-    limit; the walk picks the starts. Twenty seconds of speech hold far fewer than the walk's longest step."""
+    limit; the walk picks the starts, and raises if more than 4,096 units are to be joined into one."""
     ended = F.rlike(F.regexp_replace("text", "[\"'”’)]+$", ""), F.lit("[.?!…।]$"))
     u = scan(units, by, ["start_ms", "end_ms", "text"], bucket_of("start_ms", CHUNK), __n=row_number(), __nx=following(F.struct("speaker", "start_ms")))
     u = u.withColumns({"seq": F.col("__n") - 1, "__part": F.col("__nx").isNull() | (F.col("__nx.speaker") != F.col("speaker")) | ended
@@ -388,7 +388,7 @@ def join_seams(units: DataFrame, by: list[str] = M, max_ms: int = 20_000, gap_ms
     asks = u.select(*by, (F.col("start_ms") + max_ms).alias("__v"), F.lit(1).alias("__k"), "seq", F.lit(None).cast("bigint").alias("__e"))
     reach = scan(ends.unionByName(asks), by, ["__v", "__k", "seq"], bucket_of("__v", CHUNK), __far=last_seen("__e")).filter("__k = 1").select(*by, "seq", "__far")
     j = stops.join(reach, [*by, "seq"]).select(*by, "seq", F.greatest(F.lit(1), F.least(F.col("__stop"), F.coalesce("__far", F.col("seq"))) - F.col("seq") + 1).cast("int").alias("n"))
-    heads = walk(j, by, "seq", "n", longest=1024, size=1024)
+    heads = walk(j, by, "seq", "n", longest=4096, size=4096)
     m = heads.select(*by, F.col("seq").alias("id0"), F.explode(F.expr("sequence(seq, seq + n - 1)")).alias("seq")).join(u, [*by, "seq"])
     part = F.struct("seq", "speaker", "start_ms", "end_ms", "text", "words", "breaks", "anchors", "cut_off")
     g = m.groupBy(*by, "id0").agg(F.array_sort(F.collect_list(part)).alias("ps"))

@@ -70,8 +70,8 @@ def _(t):
 
 @query("final_units", """WITH u AS (SELECT media_id, id, arg_max(COALESCE(coverage_voiced, 'unknown'), (t_ms, event_id)) AS c, arg_max(COALESCE(verdict_by, 'unknown'), (t_ms, event_id)) AS v
   FROM fx_runs WHERE event = 'unit' GROUP BY ALL)
-SELECT u.media_id, COUNT(*) AS units, ANY_VALUE(s.n) AS skipped, COUNT(*) FILTER (c = 'C') AS complete, COUNT(*) FILTER (c = 'P') AS partial, COUNT(*) FILTER (v = 'review') AS reviewed
-FROM u LEFT JOIN (SELECT media_id, COUNT(*) AS n FROM fx_runs WHERE event = 'skipped' GROUP BY ALL) s USING (media_id) GROUP BY u.media_id""", **RV)
+SELECT media_id, COUNT(u.id) AS units, COALESCE(ANY_VALUE(s.n), 0) AS skipped, COUNT(*) FILTER (c = 'C') AS complete, COUNT(*) FILTER (c = 'P') AS partial, COUNT(*) FILTER (v = 'review') AS reviewed
+FROM u FULL JOIN (SELECT media_id, COUNT(*) AS n FROM fx_runs WHERE event = 'skipped' GROUP BY ALL) s USING (media_id) GROUP BY media_id""", **RV)
 def _(t):
     x = ops.final_units(runs(t))
     get = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0))
@@ -116,7 +116,7 @@ j AS (SELECT media_id, MIN(t_ms) AS queued_ms, MAX(t_ms) AS updated_ms FROM fx_r
 SELECT j.media_id, 'running' AS status, j.queued_ms, j.updated_ms, COALESCE(ANY_VALUE(sc.scope), 'recent_window_without_run_boundary') AS scope, MIN(sc.since_ms) AS since_ms,
   COUNT(sc.event_id) AS events, COUNT(*) FILTER (sc.event = 'claude') AS calls, COALESCE(SUM(sc.run_ms) FILTER (sc.event = 'gpu_work'), 0) AS gpu_run_ms,
   COUNT(DISTINCT CASE WHEN sc.event = 'unit' THEN sc.id END) AS units,
-  CASE WHEN COUNT(*) FILTER (sc.event = 'unit') > 0 THEN COUNT(*) FILTER (sc.event = 'skipped') ELSE 0 END AS skipped
+  COUNT(*) FILTER (sc.event = 'skipped') AS skipped
 FROM j LEFT JOIN (SELECT * FROM fx_scope) sc ON sc.media_id = j.media_id GROUP BY j.media_id, j.queued_ms, j.updated_ms""",
        **dict(RV, fx_scope=SCOPE.replace("900000000", "900000")))
 def _(t):

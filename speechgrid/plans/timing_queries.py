@@ -287,10 +287,10 @@ def _(t):
     return tm.match_breaks(x).select("media_id", "id", "picked")
 
 
-# A take is one turn; its frames are the 10 ms steps, loud where a word sounds.
-TAKE_FRAMES = """SELECT w.media_id, w.turn AS take, unnest(range(w.start_ms // 10, w.end_ms // 10)) - s.a AS frame_no, 0.5::DOUBLE AS value FROM fx_words w
-JOIN fx_take s ON s.media_id = w.media_id AND s.turn = w.turn WHERE w.pos < 60"""
-TAKE = "SELECT media_id, turn, MIN(start_ms) // 10 - 7 AS a, MAX(end_ms) // 10 + 30 AS b FROM fx_words WHERE pos < 60 GROUP BY media_id, turn"
+# A take is one line; its frames are the 10 ms steps, loud where a word sounds.
+TAKE_FRAMES = """SELECT w.media_id, w.turn * 10000 + w.pos // 8 AS take, unnest(range(w.start_ms // 10, w.end_ms // 10)) - s.a AS frame_no, 0.5::DOUBLE AS value FROM fx_words w
+JOIN fx_take s ON s.media_id = w.media_id AND s.turn = w.turn * 10000 + w.pos // 8"""
+TAKE = "SELECT media_id, turn * 10000 + pos // 8 AS turn, MIN(start_ms) // 10 - 7 AS a, MAX(end_ms) // 10 + 30 AS b FROM fx_words GROUP BY ALL"
 FULL_FRAMES = """SELECT s.media_id, s.turn AS take, f.frame_no, COALESCE(MAX(v.value), 0.0) AS value FROM fx_take s, LATERAL (SELECT unnest(range(s.b - s.a)) AS frame_no) f
 LEFT JOIN fx_loud v ON v.media_id = s.media_id AND v.take = s.turn AND v.frame_no = f.frame_no GROUP BY ALL"""
 PAUSES = """SELECT media_id, take, MIN(frame_no) * 10 AS start_ms, (MAX(frame_no) + 1) * 10 AS end_ms FROM (
@@ -303,8 +303,8 @@ TF = dict(fx_take=TAKE, fx_loud=TAKE_FRAMES, fx_frame10=FULL_FRAMES, fx_pause=PA
 
 def take_frames(t):
     """Each word brings the silence before it and its own loud frames; the last one the silence after it."""
-    w = Window.partitionBy("media_id", "turn").orderBy("pos")  # the first sixty words of one turn
-    x = t.words.filter("pos < 60").withColumns({"pe": F.lag("end_ms").over(w), "more": F.lead("pos").over(w), "a": F.min("start_ms").over(w)})
+    w = Window.partitionBy("media_id", "turn").orderBy("pos")  # the eight words of one line
+    x = t.words.withColumn("turn", F.expr("turn * 10000 + pos div 8")).withColumns({"pe": F.lag("end_ms").over(w), "more": F.lead("pos").over(w), "a": F.min("start_ms").over(w)})
     x = x.selectExpr("media_id", "turn AS take", "a div 10 - 7 AS a", "start_ms div 10 AS s", "end_ms div 10 AS e",
                      "explode(sequence(coalesce(pe div 10, a div 10 - 7), end_ms div 10 - 1 + if(more is null, 30, 0))) AS f")
     return x.selectExpr("media_id", "take", "f - a AS frame_no", "if(f >= s and f < e, 0.5D, 0.0D) AS value")

@@ -162,15 +162,15 @@ e AS (SELECT v.*, ({core_sql('b.word')}) AS wb FROM v LEFT JOIN fx_words b ON b.
    AND b.end_ms >= (SELECT start_ms FROM fx_words x WHERE x.media_id = v.media_id AND x.idx = v.lo) - 500)
 SELECT f.media_id, f.turn AS gap_id, f.idx, NOT (e.ns > 0.6 OR e.m < 0.4 OR (f.idx = e.lo AND e.wb IS NOT NULL AND {core_sql('f.word')} = e.wb)) AS keep
 FROM fx_found f JOIN e ON e.media_id = f.media_id AND e.gap_id = f.turn""",
-       fx_found="""SELECT w.media_id, w.turn, w.idx, CASE WHEN w.pos = 20 AND w.turn % 2 = 0 THEN p.word ELSE 'w' || w.idx END AS word, w.conf_pct / 100.0 AS conf,
+       fx_found="""SELECT w.media_id, w.turn * 1000 + w.pos // 12 AS turn, w.idx, CASE WHEN w.pos % 12 = 4 AND w.turn % 2 = 0 THEN p.word ELSE 'w' || w.idx END AS word, w.conf_pct / 100.0 AS conf,
   CASE WHEN w.turn = 3 THEN 0.7 ELSE 0.1 END AS ns FROM fx_words w JOIN fx_words p ON p.media_id = w.media_id AND p.idx = w.idx - 1
-  WHERE w.pos BETWEEN 20 AND 24""")
+  WHERE w.pos % 12 BETWEEN 4 AND 8""")
 def _(t):
-    w = with_neighbours(t.words, M, "idx", pw=("word", -1)).filter("pos between 20 and 24")
-    found = w.selectExpr("media_id", "turn AS gap_id", "idx", "if(pos = 20 and turn % 2 = 0, pw, concat('w', cast(idx as string))) AS word",
-                         "start_ms", "end_ms", "conf_pct / 100.0D AS conf", "if(turn = 3, 0.7D, 0.1D) AS no_speech")
+    w = with_neighbours(t.words, M, "idx", pw=("word", -1)).filter("pos % 12 between 4 and 8").withColumns({"at_turn": F.col("turn"), "turn": F.expr("turn * 1000 + pos div 12")})
+    found = w.selectExpr("media_id", "turn AS gap_id", "idx", "if(pos % 12 = 4 and at_turn % 2 = 0, pw, concat('w', cast(idx as string))) AS word",
+                         "start_ms", "end_ms", "conf_pct / 100.0D AS conf", "if(at_turn = 3, 0.7D, 0.1D) AS no_speech")
     gaps = w.groupBy("media_id", F.col("turn").alias("gap_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    first = t.words.filter("not (pos between 20 and 24)")
+    first = t.words.filter("not (pos % 12 between 4 and 8)")
     return tr.vet_redecode(found, first, gaps).select("media_id", "gap_id", "idx", "keep")
 
 
