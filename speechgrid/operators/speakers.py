@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import running_max, running_sum, scan
 from ..functions.spans import bucket_of, overlap_join
-from ..functions.vectors import unit_vector
+from ..functions.vectors import dot, unit_vector
 from ..session import stage
-from . import speaker_folds
+from . import linking
 from .intervals import (MIN_PIECE_MS, activity, candidate_windows, coverage, interval_split, interval_subtract, interval_union,
                         is_covered, join_turns)
-from .speaker_folds import link_fold, match_fold, settle_fold
 
-cloudpickle.register_pickle_by_value(speaker_folds)  # executors need no copy of this package for the folds
+cloudpickle.register_pickle_by_value(linking)  # executors need no copy of this package
 
 M = ["media_id"]
 CHUNK = 600_000
@@ -39,7 +38,7 @@ def link_speakers(blocks: DataFrame, turns: DataFrame, centroids: DataFrame, by:
 
     All interval work is joined and summed first: a label's talk, its new speech outside earlier blocks, and the speech it
     shares with each earlier label. What is left is one short row per label and block; each block depends on the ids given
-    before it, so those rows fold in block order, per recording."""
+    before it, so those rows stream in block order, a block at a time."""
     t = stage(interval_clip_to_block(turns, blocks, by))
     earlier = overlap_join(blocks, blocks, by).filter("b_block_no < block_no").select(
         *by, "block_no", F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms"))
@@ -56,7 +55,7 @@ def link_speakers(blocks: DataFrame, turns: DataFrame, centroids: DataFrame, by:
     c = centroids.select(*key, unit_vector("centroid").alias("centroid"))
     rows = talk.join(c, key, "full").join(first, key, "left").join(pairs, key, "left").na.fill(0, ["talk_ms"])
     out = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in key), "speaker string"])
-    return rows.groupBy(*by).applyInPandas(lambda pdf: link_fold(pdf, key), out)
+    return rows.repartition(*by).sortWithinPartitions(*key).mapInPandas(linking.link_stream(by), out)
 
 
 def interval_clip_to_block(turns: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -95,16 +94,73 @@ def settle_speakers(speakers: DataFrame, turns: DataFrame, by: list[str] = M, hi
     ``why`` (talk, same) are set for merged ones, ``step`` orders the merges. ``speakers(by, speaker, centroid, talk_ms,
     first_ms)``; ``turns`` exclusive.
 
-    The speech lying next to each other speaker's turns is summed by a join; a recording's speakers then settle among
-    themselves, one short row each."""
+    Rounds for all recordings at once: each recording with something to merge makes one merge a round, so there are as many
+    rounds as the most split recording has merges. A round joins the one speaker to go with the others of its recording; the
+    speech lying next to each other's turns was summed before."""
+    no = F.when(F.rlike("speaker", F.lit("^S[0-9]+$")), F.substring("speaker", 2, 18).cast("bigint")).otherwise(0)
     wide = turns.select(*by, "speaker", (F.col("start_ms") - ADJACENT_MS).alias("start_ms"), (F.col("end_ms") + ADJACENT_MS).alias("end_ms"))
-    near = (overlap_join(wide, turns.select(*by, "speaker", "start_ms", "end_ms"), by).filter("speaker <> b_speaker")
-            .groupBy(*by, "speaker", "b_speaker").agg(F.sum("overlap_ms").alias("ms")).groupBy(*by, "speaker")
-            .agg(F.collect_list(F.struct(F.col("b_speaker").alias("speaker"), "ms")).alias("near")))
-    rows = speakers.select(*by, "speaker", unit_vector("centroid").alias("centroid"), "talk_ms", "first_ms").join(near, [*by, "speaker"], "left")
-    out = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by),
-                     "speaker string, final_speaker string, into string, why string, step int"])
-    return rows.groupBy(*by).applyInPandas(lambda pdf: settle_fold(pdf, by, hinted, MIN_TALK_MS, MIN_SHARE, SAME_COS, FLOOR_CAP), out)
+    near = stage(overlap_join(wide, turns.select(*by, "speaker", "start_ms", "end_ms"), by).filter("speaker <> b_speaker")
+                 .groupBy(*by, "speaker", F.col("b_speaker").alias("other")).agg(F.sum("overlap_ms").alias("ms")))
+    total = F.sum("talk_ms")
+    floors = speakers.groupBy(*by).agg(F.least(F.greatest(F.lit(float(MIN_TALK_MS)), MIN_SHARE * total), FLOOR_CAP * total).alias("floor"))
+    live = stage(speakers.select(*by, "speaker", no.alias("no"), unit_vector("centroid").alias("c"), F.col("talk_ms").alias("talk"), F.col("talk_ms").alias("w"), F.col("first_ms").alias("first"))
+                 .join(floors, by))
+    place = live.select(*by, "speaker", F.col("speaker").alias("at"))
+    log, step = None, 0
+    while not hinted:
+        moves = stage(_next_merges(live, near, by))
+        if moves.isEmpty():
+            break
+        step += 1
+        now = moves.select(*by, "speaker", "into", "why", F.lit(step).alias("step"))
+        log = now if log is None else log.unionByName(now)
+        place = stage(place.join(moves.select(*by, F.col("speaker").alias("at"), "into"), [*by, "at"], "left").select(*by, "speaker", F.coalesce("into", "at").alias("at")))
+        live = stage(_merged(live, moves, by))
+        near = stage(_renamed(near, moves, by))
+    w = Window.partitionBy(*by).orderBy("first", "no")
+    final = live.select(*by, F.col("speaker").alias("at"), F.concat(F.lit("S"), F.row_number().over(w)).alias("final_speaker"))
+    out = place.join(final, [*by, "at"]).drop("at")
+    if log is None:
+        return out.select(*by, "speaker", "final_speaker", F.lit(None).cast("string").alias("into"), F.lit(None).cast("string").alias("why"), F.lit(None).cast("int").alias("step"))
+    return out.join(log, [*by, "speaker"], "left").select(*by, "speaker", "final_speaker", "into", "why", "step")
+
+
+def _next_merges(live: DataFrame, near: DataFrame, by: list[str]) -> DataFrame:
+    """At most one merge a recording: (by, speaker, into, why). The least talkative speaker under the floor goes to the voice most
+    like its own, or else the speaker most next to it, or else the most talkative; without one, the two most alike voices merge."""
+    several = live.join(live.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), by)
+    small = several.filter("talk < floor").groupBy(*by).agg(F.min_by(F.struct("speaker", "no", "c"), F.struct("talk", "no")).alias("a"))
+    b = several.select(*by, F.col("speaker").alias("into"), F.col("no").alias("b_no"), F.col("c").alias("b_c"), F.col("talk").alias("b_talk"))
+    beside = near.select(*by, F.col("speaker").alias("from"), F.col("other").alias("into"), "ms")
+    pair = small.join(b, by).filter("into <> a.speaker").withColumn("from", F.col("a.speaker")).join(beside, [*by, "from", "into"], "left")
+    rank = (F.when(F.col("a.c").isNotNull() & F.col("b_c").isNotNull(), F.struct(F.lit(2).alias("kind"), dot("a.c", "b_c").alias("v")))
+            .when(F.col("ms").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("ms").cast("double").alias("v"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("b_talk").cast("double").alias("v"))))
+    first = pair.groupBy(*by).agg(F.max_by(F.struct(F.col("a.speaker").alias("speaker"), "into"), F.struct(rank, -F.col("b_no"))).alias("m")).select(*by, "m.speaker", "m.into", F.lit("talk").alias("why"))
+    x = several.filter("c is not null").join(small.select(*by), by, "left_anti")
+    y = x.select(*by, F.col("speaker").alias("s2"), F.col("no").alias("no2"), F.col("c").alias("c2"), F.col("talk").alias("talk2"))
+    two = x.join(y, by).filter("no < no2").withColumn("cos", dot("c", "c2")).filter(F.col("cos") >= SAME_COS)
+    goes = F.when((F.col("talk") < F.col("talk2")), F.struct(F.col("speaker"), F.col("s2").alias("into"))).otherwise(F.struct(F.col("s2").alias("speaker"), F.col("speaker").alias("into")))
+    second = two.groupBy(*by).agg(F.max_by(goes, F.struct("cos", -F.col("no"), -F.col("no2"))).alias("m")).select(*by, "m.speaker", "m.into", F.lit("same").alias("why"))
+    return first.unionByName(second)
+
+
+def _merged(live: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
+    """The speakers left, each with the voice, talk and first speech of what it took in."""
+    gone = moves.join(live.select(*by, "speaker", F.col("c").alias("c2"), F.col("w").alias("w2"), F.col("talk").alias("talk2"), F.col("first").alias("first2")), [*by, "speaker"]).select(
+        *by, F.col("into").alias("speaker"), "c2", F.greatest(F.col("w2"), F.lit(linking.MIN_WEIGHT_MS)).alias("w2"), "talk2", "first2")
+    left = live.join(moves.select(*by, "speaker"), [*by, "speaker"], "left_anti").join(gone, [*by, "speaker"], "left")
+    mean = unit_vector(F.zip_with("c", "c2", lambda p, q: p * F.col("w") + q * F.col("w2")))
+    keep, both = F.col("c2").isNull(), mean.isNotNull() & (F.col("w") > 0)
+    return left.select(*by, "speaker", "no", F.when(keep, F.col("c")).when(both, mean).otherwise(F.col("c2")).alias("c"), (F.col("talk") + F.coalesce("talk2", F.lit(0))).alias("talk"),
+                       F.when(keep, F.col("w")).when(both, F.col("w") + F.col("w2")).otherwise(F.col("w2")).alias("w"), F.least("first", "first2").alias("first"), "floor")
+
+
+def _renamed(near: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
+    """Adjacent speech with merged speakers under their new names."""
+    m = moves.select(*by, F.col("speaker").alias("__a"), F.col("into").alias("__b"))
+    for c in ("speaker", "other"):
+        near = near.join(m.withColumnRenamed("__a", c), [*by, c], "left").withColumn(c, F.coalesce("__b", c)).drop("__b")
+    return near.filter("speaker <> other").groupBy(*by, "speaker", "other").agg(F.sum("ms").alias("ms"))
 
 
 def match_ids(previous: DataFrame, current: DataFrame, by: list[str] = M) -> DataFrame:
@@ -118,7 +174,7 @@ def match_ids(previous: DataFrame, current: DataFrame, by: list[str] = M) -> Dat
     cur = current.groupBy(*by, "speaker").agg(F.min("start_ms").alias("first_ms"))
     rows = cur.join(shared, [*by, "speaker"], "left").join(olds, by, "left")
     out = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in by), "speaker string, new_speaker string"])
-    return rows.groupBy(*by).applyInPandas(lambda pdf: match_fold(pdf, by), out)
+    return rows.groupBy(*by).applyInPandas(lambda pdf: linking.keep_ids(pdf, by), out)
 
 
 def talk_stats(turns: DataFrame, by: list[str] = M) -> DataFrame:
