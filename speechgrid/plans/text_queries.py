@@ -26,18 +26,23 @@ def written(t, lines):
 
 def event_lines(t):
     e = t.read("events")
-    js = F.to_json(F.struct(F.col("event_id").alias("id"), F.expr("if(event_id % 7 = 0, 'soon', cast(user_id as string))").alias("t"), F.col("event_type").alias("event"),
-                            F.concat(F.lit("a b"), F.col("props")).alias("note")))
+    # Times are numbers, quoted numbers, words and truth values; some ids are text; some lines hold two objects parted by a CR.
+    time = F.expr("""case event_id % 7 when 0 then '"soon"' when 1 then concat('"', user_id, '"') when 2 then 'true' when 3 then concat(user_id, '.0') else cast(user_id as string) end""")
+    rest = F.to_json(F.struct(F.col("event_type").alias("event"), F.concat(F.lit("a b"), F.col("props")).alias("note")))
+    js = F.concat(F.lit('{"id": '), F.expr("""if(event_id % 19 = 0, '"x"', cast(event_id as string))"""), F.lit(', "t": '), time, F.lit(", "), F.substr(rest, F.lit(2)))
+    js = F.when(F.col("event_id") % 23 == 0, F.concat(js, F.lit("\r"), js)).otherwise(js)
     torn = F.when(F.col("event_id") % 13 == 0, F.substring(js, 1, 20)).when(F.col("event_id") % 17 == 0, F.lit("[1, 2]")).otherwise(js)
     return written(t, e.select(torn.alias("value")))
 
 
-@query("read_jsonl", "SELECT event_id AS id, event_type AS event, length(props) + 3 AS n FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0")
+@query("read_jsonl", """SELECT CASE WHEN event_id % 19 <> 0 THEN event_id END AS id, event_type AS event, length(props) + 3 AS n
+FROM events, (SELECT unnest([1, 2]) AS k) WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND (k = 1 OR event_id % 23 = 0)""")
 def _(t):
     return io.read_jsonl(t.spark, event_lines(t), EVENT).select("id", "event", F.length("note").alias("n"))
 
 
-@query("read_trace", "SELECT event_id AS id, user_id::DOUBLE AS t, event_type AS event FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 7 <> 0")
+@query("read_trace", """SELECT CASE WHEN event_id % 19 <> 0 THEN event_id END AS id, user_id::DOUBLE AS t, event_type AS event
+FROM events, (SELECT unnest([1, 2]) AS k) WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_id % 7 >= 3 AND (k = 1 OR event_id % 23 = 0)""")
 def _(t):
     return io.read_trace(t.spark, event_lines(t), EVENT).select("id", "t", "event")
 
@@ -46,11 +51,13 @@ def _(t):
 def _(t):
     s = t.read("events").groupBy("user_id", F.col("event_type").alias("stage")).agg(F.count("*").alias("done"))
     doc = s.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("done", (F.col("done") + 5).alias("total"))))).alias("stages"))
-    js = F.to_json(F.struct(F.col("user_id").alias("job"), "stages"))
+    # Every fifth document has fields of the wrong type, which must not cost the rest.
+    odd = F.expr("""if(user_id % 5 = 0, '{"name": [3], "total": "many", ', '{"name": "n", "total": 4, ')""")
+    js = F.concat(odd, F.substr(F.to_json(F.struct(F.col("user_id").alias("job"), "stages")), F.lit(2)))
     path = f"{stage_folder(t.spark)}/jobs-{uuid.uuid4().hex}"
     # One document a file, as a library keeps them: the folder per job comes from partitioning the write.
     doc.select(F.when(F.col("user_id") % 9 == 0, F.lit("{torn")).otherwise(js).alias("value"), "user_id").repartition("user_id").write.partitionBy("user_id").text(path)
-    jobs = io.read_jobs(t.spark, f"{path}/*/*.txt", "job bigint, stages map<string, struct<done:bigint,total:bigint>>")
+    jobs = io.read_jobs(t.spark, f"{path}/*/*.txt", "job bigint, total bigint, name string, stages map<string, struct<done:bigint,total:bigint>>").drop("total", "name")
     return io.explode_stages(jobs, ["job"])
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
-
 TRACE_SCHEMA = T.StructType([
     T.StructField("t", T.StringType()), T.StructField("run_id", T.StringType()), T.StructField("event", T.StringType()),
     T.StructField("id", T.StringType()), T.StructField("key", T.StringType()), T.StructField("call", T.StringType()),
@@ -16,22 +14,34 @@ TRACE_SCHEMA = T.StructType([
     T.StructField("cache_creation_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with torn lines and non-objects left out. Lines end at LF only (other separators are data). ``file_pos`` keeps
-    order inside a file: file path, split start, and the place in the split."""
-    s = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+def _objects(raw: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
+    """The JSON objects among the texts ``value``: typed fields (NULL where a field is missing or of another type), the columns
+    ``keep``, and ``__v``, the object itself. Texts that are no JSON, or no object, are left out."""
+    v = F.try_parse_json("value")
+    x = raw.withColumn("__v", v).filter(F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")))
+    return x.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), *keep, "__v").select("j.*", *keep, "__v")
+
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-                          F.monotonically_increasing_id().alias("row")).alias("file_pos"))
-    line = F.regexp_replace("value", "\r$", "")
-    x = raw.filter(F.rlike(line, F.lit("^\\s*\\{"))).select(F.from_json(line, s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("j"), "file_pos")
-    return x.filter(F.col(f"j.{CORRUPT}").isNull()).select("j.*", "file_pos").drop(CORRUPT)
+        F.posexplode(F.split("value", "\r")).alias("part", "value"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return _objects(raw.select("value", F.struct("file", "split", "row", "part").alias("file_pos")), schema, "file_pos")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with torn lines and non-objects left out. Lines end at LF or CR (other separators are data). A field of another
+    type than asked for is NULL, its row stays. ``file_pos`` keeps order inside a file: file path, split start, and the place in
+    the split."""
+    return _json_lines(spark, path, schema).drop("__v")
 
 
 def read_trace(spark: SparkSession, path: str, schema: T.StructType = TRACE_SCHEMA) -> DataFrame:
-    """Trace events with a numeric time: ``t`` is read as text first, so a quoted or boolean time is no number."""
-    x = read_jsonl(spark, path, schema)
-    return x.withColumn("t", F.col("t").try_cast("double")).filter("t is not null")
+    """Trace events whose time ``t`` is a JSON number; a quoted or boolean time is none."""
+    t = F.try_variant_get("__v", "$.t", "variant")
+    number = F.rlike(F.schema_of_variant(t), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"))
+    x = _json_lines(spark, path, schema).filter(number)
+    return x.withColumn("t", F.try_variant_get("__v", "$.t", "double")).drop("__v")
 
 
 def latest_by_key(df: DataFrame, key: list[str], order: list[str], match: dict | None = None) -> DataFrame:
@@ -62,12 +72,10 @@ def content_key(*cols: str, n: int = 20) -> Column:
 
 
 def read_jobs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Job documents (one JSON object a file, a glob over the library); unreadable ones and non-objects left out."""
+    """Job documents (one JSON object a file, a glob over the library); unreadable ones and non-objects left out, a field of
+    another type NULL."""
     raw = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    st = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    j = F.from_json("value", st, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    x = raw.filter(F.rlike("value", F.lit("^\\s*\\{"))).select(j.alias("j"), "file")
-    return x.filter(F.col(f"j.{CORRUPT}").isNull()).select("j.*", "file").drop(CORRUPT)
+    return _objects(raw, T._parse_datatype_string(schema), "file").drop("__v")
 
 
 def explode_stages(jobs: DataFrame, key: list[str], stages: str = "stages") -> DataFrame:
