@@ -182,7 +182,7 @@ def nearest_turn(points: DataFrame, turns: DataFrame, at: str, key: list[str], b
     ``mode="segmenter"``: the longest containing turn (both ends closed), else the nearest within ``near_ms``, else the
     previous point's, else the nearest at any distance, else "S1"; ties go to the previous point's speaker, then the
     earlier start.
-    A tie is settled by the latest earlier point that was not itself tied."""
+    The previous point's speaker is the one it was given, whether by a tie or not."""
     t = F.col(at)
     j = point_join(points, turns.select(*by, "speaker", "start_ms", "end_ms"), by, at, near_ms)
     d = F.greatest(F.col("b_start_ms") - t, t - F.col("b_end_ms"), F.lit(0))
@@ -199,23 +199,41 @@ def nearest_turn(points: DataFrame, turns: DataFrame, at: str, key: list[str], b
     cand = near.groupBy(*by, *key).agg(F.min("m.rank").alias("__r"), F.collect_list(F.struct(F.col("m.rank").alias("rank"), F.col("m.tail").alias("tail"), "spk")).alias("__c"))
     tied = cand.withColumn("__c", F.array_sort(F.filter("__c", lambda c: c["rank"] == F.col("__r")))).select(
         *by, *key, F.expr("__c[0].spk").alias("__pick"), F.transform("__c", lambda c: c["spk"]).alias("__tied"))
-    x = stage(points.join(tied, [*by, *key], "left").withColumn("__sure", F.when(F.size("__tied") == 1, F.col("__pick"))))
-    x = scan(x, by, [at, *key], bucket_of(at, chunk_ms), __prev=last_seen("__sure", inclusive=False))
-    x = x.withColumn("__s1", F.when(F.array_contains("__tied", F.col("__prev")), F.col("__prev"))
-                     .otherwise(F.col("__pick")))
-    x = scan(x, by, [at, *key], bucket_of(at, chunk_ms), __s2=last_seen("__s1"))
     if mode == "registry":
-        talk = (turns.groupBy(*by, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
-                .groupBy(*by).agg(F.min_by("speaker", F.struct(-F.col("ms"), F.col("speaker"))).alias("__most")))
-        x = x.join(talk, by, "left").withColumn("speaker", F.coalesce("__s2", "__most", F.lit("S1")))
+        talk = turns.groupBy(*by, "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+        start = talk.groupBy(*by).agg(F.min_by("speaker", F.struct(-F.col("ms"), F.col("speaker"))).alias("__start"))
     else:
-        # Only a recording's leading points can still lack a speaker; they take the turn nearest to the first of them.
+        # Only a recording's leading points can lack a speaker; they take the turn nearest to the first of them.
         t0 = points.groupBy(*by).agg(F.min(at).alias("__t0"))
         far = F.greatest(F.col("start_ms") - F.col("__t0"), F.col("__t0") - F.col("end_ms"))
-        first = (turns.join(t0, by).groupBy(*by)
-                 .agg(F.min_by("speaker", F.struct(far, F.col("start_ms"), F.col("speaker"))).alias("__first")))
-        x = x.join(first, by, "left").withColumn("speaker", F.coalesce("__s2", "__first", F.lit("S1")))
-    return x.select(*points.columns, "speaker")
+        start = turns.join(t0, by).groupBy(*by).agg(F.min_by("speaker", F.struct(far, F.col("start_ms"), F.col("speaker"))).alias("__start"))
+    x = points.join(tied, [*by, *key], "left").join(start, by, "left").withColumn("__start", F.coalesce("__start", F.lit("S1")))
+    return _carry_ties(x, points.columns, at, key, by, chunk_ms)
+
+
+def _carry_ties(x: DataFrame, columns: list[str], at: str, key: list[str], by: list[str], chunk_ms: int) -> DataFrame:
+    """``columns`` and ``speaker``: of a point's tied speakers the one of the point before, else its pick; without any, that of the
+    point before (the first: ``__start``).
+
+    A chunk of points is summarised by the speaker it ends with for each speaker it may be entered with; the summaries are
+    followed in order, and every chunk then labels its own points."""
+    point = F.struct(F.col(at).alias("at"), *[F.col(k).alias(f"k_{k}") for k in key], F.col("__pick").alias("pick"), F.col("__tied").alias("tied"), F.struct(*columns).alias("row"))
+    g = stage(x.groupBy(*by, bucket_of(at, chunk_ms).alias("__c")).agg(F.array_sort(F.collect_list(point)).alias("ps"), F.first("__start").alias("__start")))
+    says = "case when p.tied is null then coalesce({0}, __start) when array_contains(p.tied, {0}) then {0} else p.pick end"
+    through = f"aggregate(ps, cast({{0}} as string), (e, p) -> {says.format('e')})"
+    names = "array_distinct(flatten(transform(filter(ps, p -> p.tied is not null), p -> p.tied)))"
+    other = "'\\u0000'"
+    maps = g.select(*by, "__c", F.expr(names).alias("n"), "ps", "__start").select(
+        *by, "__c", "n", F.expr(f"transform(n, s -> {through.format('s')})").alias("to"), F.expr(through.format(other)).alias("rest"), F.expr(through.format("null")).alias("none"))
+    leave = f"case when t.e is null then m.none when array_contains(m.n, t.e) then m.to[array_position(m.n, t.e) - 1] when m.rest = {other} then t.e else m.rest end"
+    enter = ("aggregate(ms, struct(cast(array() as array<struct<c:bigint,e:string>>) as o, cast(null as string) as e), (t, m) -> "
+             f"struct(concat(t.o, array(struct(cast(m.__c as bigint) as c, t.e as e))) as o, {leave} as e)).o")
+    entries = (maps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__c", "n", "to", "rest", "none"))).alias("ms"))
+               .select(*by, F.explode(F.expr(enter)).alias("x")).select(*by, F.col("x.c").alias("__c"), F.col("x.e").alias("__e")))
+    label = ("aggregate(ps, struct(cast(array() as array<string>) as o, __e as e), (t, p) -> get(transform(array("
+             f"{says.format('t.e')}), s -> struct(concat(t.o, array(s)) as o, s as e)), 0)).o")
+    done = g.join(entries, [*by, "__c"]).select(F.explode(F.arrays_zip(F.col("ps").alias("p"), F.expr(label).alias("s"))).alias("z"))
+    return done.select("z.p.row.*", F.col("z.s").alias("speaker"))
 
 
 def activity(turns: DataFrame, durations: DataFrame, bins: int = 120, by: list[str] = ["media_id"]) -> DataFrame:

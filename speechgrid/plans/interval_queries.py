@@ -115,45 +115,49 @@ def _(t):
     return iv.exclusive_turns(t.turns)
 
 
-@query("speaker_at_registry", """WITH p AS (SELECT media_id, idx, (start_ms + end_ms) // 2 AS mid FROM fx_words),
+def moved(turns, which):
+    """Gaps without losing a row: the turns in question lie long after all others."""
+    later = F.expr(f"if({which}, 1000000000L, 0L)")
+    return turns.withColumns({"start_ms": F.col("start_ms") + later, "end_ms": F.col("end_ms") + later})
+
+
+@query("speaker_at_registry", """WITH RECURSIVE p AS (SELECT media_id, idx, (start_ms + end_ms) // 2 AS mid FROM fx_words),
 c AS (SELECT p.*, t.speaker, GREATEST(t.start_ms - mid, mid - t.end_ms, 0) AS d,
         CASE WHEN t.start_ms <= mid AND mid < t.end_ms THEN 0 ELSE 1 END AS o, -t.start_ms AS tail
       FROM p LEFT JOIN fx_few t ON p.media_id = t.media_id AND mid BETWEEN t.start_ms - 500 AND t.end_ms + 500),
 r AS (SELECT media_id, idx, mid, speaker, tail, RANK() OVER (PARTITION BY media_id, idx ORDER BY d, o) AS k FROM c),
 g AS (SELECT media_id, idx, mid, arg_min(speaker, (tail, speaker)) AS pick, list(DISTINCT speaker) FILTER (speaker IS NOT NULL) AS tied
       FROM r WHERE k = 1 GROUP BY ALL),
-s AS (SELECT *, last_value(CASE WHEN len(tied) = 1 THEN pick END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY mid, idx
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM g),
-f AS (SELECT *, CASE WHEN list_contains(tied, prev) THEN prev ELSE pick END AS s1 FROM s),
+q AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY media_id ORDER BY mid, idx) AS n FROM g),
 talk AS (SELECT media_id, arg_min(speaker, (-ms, speaker)) AS most FROM
-  (SELECT media_id, speaker, SUM(end_ms - start_ms) AS ms FROM fx_few GROUP BY ALL) GROUP BY media_id)
-SELECT f.media_id, idx, COALESCE(last_value(s1 IGNORE NULLS) OVER (PARTITION BY f.media_id ORDER BY mid, idx
-  ROWS UNBOUNDED PRECEDING), most, 'S1') AS speaker FROM f LEFT JOIN talk ON f.media_id = talk.media_id""",
-       fx_few="SELECT * FROM fx_ex WHERE turn % 3 <> 0")
+  (SELECT media_id, speaker, SUM(end_ms - start_ms) AS ms FROM fx_few GROUP BY ALL) GROUP BY media_id),
+walk AS (SELECT q.media_id, idx, n, COALESCE(pick, most, 'S1') AS speaker FROM q LEFT JOIN talk ON q.media_id = talk.media_id WHERE n = 1
+  UNION ALL SELECT q.media_id, q.idx, q.n, CASE WHEN q.tied IS NULL OR list_contains(q.tied, w.speaker) THEN w.speaker ELSE q.pick END FROM walk w JOIN q ON q.media_id = w.media_id AND q.n = w.n + 1)
+SELECT media_id, idx, speaker FROM walk""",
+       fx_few="SELECT * REPLACE (start_ms + later AS start_ms, end_ms + later AS end_ms) FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN 1000000000 ELSE 0 END AS later FROM fx_ex)")
 def _(t):
     p = t.words.select("media_id", "idx", F.expr("(start_ms + end_ms) div 2").alias("mid"))
-    return iv.nearest_turn(p, t.ex.filter("turn % 3 <> 0"), "mid", ["idx"]).select("media_id", "idx", "speaker")
+    return iv.nearest_turn(p, moved(t.ex, "turn % 3 = 0"), "mid", ["idx"]).select("media_id", "idx", "speaker")
 
 
-@query("label_words_by_turn", """WITH p AS (SELECT media_id, idx, (start_ms + end_ms) // 2 AS mid FROM fx_words),
+@query("label_words_by_turn", """WITH RECURSIVE p AS (SELECT media_id, idx, (start_ms + end_ms) // 2 AS mid FROM fx_words),
 c AS (SELECT p.*, t.speaker, GREATEST(t.start_ms - mid, mid - t.end_ms, 0) AS d,
         CASE WHEN mid BETWEEN t.start_ms AND t.end_ms THEN t.start_ms - t.end_ms ELSE 1 END AS o, t.start_ms AS tail
       FROM p LEFT JOIN fx_few t ON p.media_id = t.media_id AND mid BETWEEN t.start_ms - 500 AND t.end_ms + 500),
 r AS (SELECT media_id, idx, mid, speaker, tail, RANK() OVER (PARTITION BY media_id, idx ORDER BY o, d) AS k FROM c),
 g AS (SELECT media_id, idx, mid, arg_min(speaker, (tail, speaker)) AS pick, list(DISTINCT speaker) FILTER (speaker IS NOT NULL) AS tied
       FROM r WHERE k = 1 GROUP BY ALL),
-s AS (SELECT *, last_value(CASE WHEN len(tied) = 1 THEN pick END IGNORE NULLS) OVER (PARTITION BY media_id ORDER BY mid, idx
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM g),
-f AS (SELECT *, CASE WHEN list_contains(tied, prev) THEN prev ELSE pick END AS s1 FROM s),
+q AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY media_id ORDER BY mid, idx) AS n FROM g),
 z AS (SELECT media_id, MIN(mid) AS t0 FROM p GROUP BY media_id),
 n AS (SELECT t.media_id, arg_min(t.speaker, (GREATEST(t.start_ms - t0, t0 - t.end_ms), t.start_ms, t.speaker)) AS nearest
-      FROM fx_few t JOIN z ON t.media_id = z.media_id GROUP BY t.media_id)
-SELECT f.media_id, idx, COALESCE(last_value(s1 IGNORE NULLS) OVER (PARTITION BY f.media_id ORDER BY mid, idx
-  ROWS UNBOUNDED PRECEDING), nearest, 'S1') AS speaker FROM f LEFT JOIN n ON f.media_id = n.media_id""",
-       fx_few="SELECT * FROM fx_turns WHERE turn % 4 <> 0")
+      FROM fx_few t JOIN z ON t.media_id = z.media_id GROUP BY t.media_id),
+walk AS (SELECT q.media_id, idx, q.n, COALESCE(pick, nearest, 'S1') AS speaker FROM q LEFT JOIN n ON q.media_id = n.media_id WHERE q.n = 1
+  UNION ALL SELECT q.media_id, q.idx, q.n, CASE WHEN q.tied IS NULL OR list_contains(q.tied, w.speaker) THEN w.speaker ELSE q.pick END FROM walk w JOIN q ON q.media_id = w.media_id AND q.n = w.n + 1)
+SELECT media_id, idx, speaker FROM walk""",
+       fx_few="SELECT * REPLACE (start_ms + later AS start_ms, end_ms + later AS end_ms) FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN 1000000000 ELSE 0 END AS later FROM fx_turns)")
 def _(t):
     p = t.words.select("media_id", "idx", F.expr("(start_ms + end_ms) div 2").alias("mid"))
-    return (iv.nearest_turn(p, t.turns.filter("turn % 4 <> 0"), "mid", ["idx"], mode="segmenter")
+    return (iv.nearest_turn(p, moved(t.turns, "turn % 4 = 0"), "mid", ["idx"], mode="segmenter")
             .select("media_id", "idx", "speaker"))
 
 

@@ -113,3 +113,33 @@ def test_wide_joins_are_equi_joins(spark):
     _, a = frames(spark, 1, 5)
     plan = iv.interval_overlap(a, a, ["m"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_ties_go_to_the_speaker_of_the_point_before(spark):
+    # A and B are equally far from the first point, B and C from the second, C and B from the third
+    turns = spark.createDataFrame([(1, "A", 0, 800), (1, "B", 1_000, 1_600), (1, "C", 1_800, 2_100), (1, "B", 2_300, 2_600)], "media_id bigint, speaker string, start_ms bigint, end_ms bigint")
+    points = spark.createDataFrame([(1, k, t) for k, t in enumerate((900, 1_700, 2_200))], "media_id bigint, idx bigint, mid bigint")
+    for chunk in (500, 600_000):
+        got = {r.idx: r.speaker for r in iv.nearest_turn(points, turns, "mid", ["idx"], near_ms=100, chunk_ms=chunk).collect()}
+        assert got == {0: "B", 1: "B", 2: "B"}
+    r = random.Random(3)
+    for mode in ("registry", "segmenter"):
+        turns = [(f"S{r.randint(1, 4)}", a := 200 * k, a + 100) for k in range(0, 60)]
+        pts = sorted(150 + 200 * r.randint(0, 62) for _ in range(80))
+        prev, want = None, []
+        for t in pts:
+            near = {}
+            for s, a, e in turns:
+                d = max(a - t, t - e, 0)
+                if d <= 60:
+                    near.setdefault(d, []).append((-a if mode == "registry" else a, s))
+            if near:
+                best = sorted(near[min(near)])
+                prev = prev if prev in [s for _, s in best] else best[0][1]
+            elif prev is None:
+                prev = None
+            want.append(prev)
+        tf = spark.createDataFrame([(1, *x) for x in turns], "media_id bigint, speaker string, start_ms bigint, end_ms bigint")
+        pf = spark.createDataFrame([(1, k, t) for k, t in enumerate(pts)], "media_id bigint, idx bigint, mid bigint")
+        got = {x.idx: x.speaker for x in iv.nearest_turn(pf, tf, "mid", ["idx"], near_ms=60, mode=mode, chunk_ms=700).collect()}
+        assert [got[k] for k, w in enumerate(want) if w] == [w for w in want if w]
