@@ -182,10 +182,10 @@ def _(t):
 @query("is_covered", """SELECT w.media_id, w.idx, bool_or(u.media_id IS NOT NULL) AS covered
 FROM fx_words w LEFT JOIN fx_u u ON w.media_id = u.media_id AND u.start_ms - 1 <= w.start_ms AND w.end_ms <= u.end_ms + 1
 GROUP BY w.media_id, w.idx""", fx_u=islands("fx_odd", rule="start_ms <= top + 1"),
-       fx_odd="SELECT * FROM fx_phrases WHERE phrase % 3 <> 1")
+       fx_odd="SELECT * REPLACE (start_ms + later AS start_ms, end_ms + later AS end_ms) FROM (SELECT *, CASE WHEN phrase % 3 = 1 THEN 1000000000 ELSE 0 END AS later FROM fx_phrases)")
 def _(t):
     w = t.words.select("media_id", "idx", "start_ms", "end_ms")
-    return iv.is_covered(w, iv.coverage(t.phrases.filter("phrase % 3 <> 1")), ["idx"]).select("media_id", "idx", "covered")
+    return iv.is_covered(w, iv.coverage(moved(t.phrases, "phrase % 3 = 1")), ["idx"]).select("media_id", "idx", "covered")
 
 
 @query("split_spans", """SELECT media_id, turn, piece, start_ms + (end_ms - start_ms) * piece // n AS start_ms,
@@ -228,6 +228,6 @@ def _(t):
 
 @query("frame_mean", """SELECT f.media_id, AVG(value) AS mean, COUNT(value) AS n FROM fx_frames f JOIN fx_u u
 ON f.media_id = u.media_id AND f.frame_no * 100 + 50 >= u.start_ms AND f.frame_no * 100 + 50 < u.end_ms GROUP BY f.media_id""",
-       fx_u=islands("fx_odd"), fx_odd="SELECT * FROM fx_phrases WHERE phrase % 3 <> 1")
+       fx_u=islands("fx_odd"), fx_odd="SELECT * REPLACE (start_ms + later AS start_ms, end_ms + later AS end_ms) FROM (SELECT *, CASE WHEN phrase % 3 = 1 THEN 1000000000 ELSE 0 END AS later FROM fx_phrases)")
 def _(t):
-    return iv.frame_mean(t.frames, t.phrases.filter("phrase % 3 <> 1"), M)
+    return iv.frame_mean(t.frames, moved(t.phrases, "phrase % 3 = 1"), M)

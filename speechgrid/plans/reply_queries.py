@@ -116,22 +116,22 @@ def _(t):
 
 
 @query("check_delivery", """SELECT media_id, id, CASE WHEN id % 2 = 0 THEN 'happy' ELSE 'neutral' END AS emotion, CASE WHEN id % 3 = 0 THEN 'mid' ELSE 'high' END AS energy, id % 5 = 0 AS question,
-  CASE WHEN id % 7 < 3 THEN '0,' || id % 7 ELSE '0' END AS emphasis, array_to_string(list_filter([CASE WHEN id % 2 = 1 THEN 'emotion unknown' END, CASE WHEN id % 3 = 0 THEN 'energy unknown' END, CASE WHEN id % 7 >= 3 THEN 'emphasis is not a word' END], lambda x: x IS NOT NULL), ',') AS flags
-FROM fx_units WHERE id % 7 <> 0""")
+  CASE WHEN id % 7 IN (1, 2) THEN '0,' || id % 7 ELSE '0' END AS emphasis, array_to_string(list_filter([CASE WHEN id % 2 = 1 THEN 'emotion unknown' END, CASE WHEN id % 3 = 0 THEN 'energy unknown' END, CASE WHEN id % 7 >= 3 THEN 'emphasis is not a word' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM fx_units""")
 def _(t):
-    x = t.units.filter("id % 7 <> 0").selectExpr("media_id", "id", "'క మ న' AS spoken", """struct(if(id % 2 = 0, 'happy', 'odd') as emotion, if(id % 3 = 0, 'huge', 'high') as energy,
+    x = t.units.selectExpr("media_id", "id", "'క మ న' AS spoken", """struct(if(id % 2 = 0, 'happy', 'odd') as emotion, if(id % 3 = 0, 'huge', 'high') as energy,
       case id % 5 when 0 then 'true' when 1 then '1' end as question, array(0, int(id % 7), 0) as emphasis) AS delivery""")
     return rp.check_delivery(x).select("media_id", "id", "delivery.emotion", "delivery.energy", "delivery.question", F.array_join(F.transform("delivery.emphasis", lambda i: i.cast("string")), ",").alias("emphasis"),
                                        F.array_join("delivery_flags", ",").alias("flags"))
 
 
-TERMS = "SELECT DISTINCT media_id, word AS term FROM fx_words WHERE regexp_matches(word, '^[A-Za-z]+$') AND length(word) > 6 AND pos % 5 = 0"
+TERMS = "SELECT DISTINCT media_id, word AS term FROM fx_words WHERE regexp_matches(word, '^[A-Za-z]+$') AND length(word) > 6"
 
 
 @query("glossary_flags", """SELECT DISTINCT u.media_id, u.id, g.term FROM fx_unit_text u JOIN fx_terms g ON g.media_id = u.media_id AND regexp_matches(u.text, '(?i)(^|[^A-Za-z0-9])' || g.term || '($|[^A-Za-z0-9])')
 WHERE NOT (u.id % 2 = 0)""", fx_terms=TERMS)
 def _(t):
-    g = t.words.filter("word rlike '^[A-Za-z]+$' and length(word) > 6 and pos % 5 = 0").select("media_id", F.col("word").alias("term")).distinct().withColumn("spoken", F.lit("పద"))
+    g = t.words.filter("word rlike '^[A-Za-z]+$' and length(word) > 6").select("media_id", F.col("word").alias("term")).distinct().withColumn("spoken", F.lit("పద"))
     ln = t.unit_text.select("media_id", "id", F.col("text").alias("source"), F.expr("if(id % 2 = 0, 'పద', 'క')").alias("spoken"))
     return rp.glossary_flags(ln, g)
 
@@ -165,7 +165,7 @@ def _(t):
         "pieces": F.expr("cast(array() as array<string>)"), "moved": F.expr("cast(array() as array<string>)"),
         "delivery": F.expr("struct('happy' as emotion, 'mid' as energy, cast(null as string) as question, cast(array() as array<int>) as emphasis)")})
     s = t.unit_text.select("media_id", "id", F.col("text").alias("source"), F.array(F.lit("full"), F.lit("concise")).alias("want"), F.expr("cast(array() as array<int>)").alias("breaks"))
-    g = t.words.filter("word rlike '^[A-Za-z]+$' and length(word) > 6 and pos % 5 = 0").select("media_id", F.col("word").alias("term")).distinct().withColumn("spoken", F.lit("పద"))
+    g = t.words.filter("word rlike '^[A-Za-z]+$' and length(word) > 6").select("media_id", F.col("word").alias("term")).distinct().withColumn("spoken", F.lit("పద"))
     return rp.check_replies(r, s, g)
 
 

@@ -78,9 +78,9 @@ def _(t):
 
 @query("fit_requests", """SELECT media_id, id, CASE WHEN id % 10 = 9 THEN '' WHEN over THEN CASE WHEN id % 2 = 0 THEN 'concise,very_concise' ELSE 'concise' END
   WHEN id % 3 = 0 THEN CASE WHEN tier = 'full' THEN 'fuller' WHEN tier = 'concise' AND id % 2 = 0 THEN 'concise' ELSE 'concise' END ELSE CASE WHEN tier = 'full' THEN 'fuller' ELSE 'concise' END END AS want
-FROM (SELECT media_id, id, 'full' AS tier, id % 4 = 0 AS over FROM fx_units) WHERE id % 3 <> 0""")
+FROM (SELECT media_id, id, 'full' AS tier, id % 4 = 0 AS over FROM fx_units)""")
 def _(t):
-    x = t.units.filter("id % 3 <> 0").selectExpr("media_id", "id", "start_ms", "end_ms", "'full' AS tier", "if(id % 2 = 0, array('full'), array('full', 'very_concise')) AS have",
+    x = t.units.selectExpr("media_id", "id", "start_ms", "end_ms", "'full' AS tier", "if(id % 2 = 0, array('full'), array('full', 'very_concise')) AS have",
                                                 "map('full', double((end_ms - start_ms) * if(id % 4 = 0, 2, 0.5))) AS pred_ms", "map('full', 20.0D) AS units",
                                                 "end_ms - start_ms AS speech_ms", "15.0D AS target_units", "id % 10 = 9 AS approved_full")
     return sc.fit_requests(x).selectExpr("media_id", "id", "array_join(want, ',') AS want")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import segment as sg
+from .interval_queries import moved
 from .registry import query
 
 M = ["media_id"]
@@ -99,17 +100,17 @@ SPEECH = """SELECT u.media_id, u.id, CASE WHEN v > 0 THEN v ELSE span END AS spe
   LEAST(GREATEST(COALESCE((SELECT CAST(SUM(LEAST(t.end_ms, u.end_ms) - GREATEST(t.start_ms, u.start_ms)) AS BIGINT) FROM fx_part t WHERE t.media_id = u.media_id AND t.speaker = u.speaker
     AND t.start_ms < u.end_ms AND u.start_ms < t.end_ms), 0), w.ms), u.end_ms - u.start_ms) AS v
   FROM fx_units u JOIN (SELECT media_id, turn * 10000 + pos // 8 AS id, CAST(SUM(end_ms - start_ms) AS BIGINT) AS ms FROM fx_words GROUP BY ALL) w ON w.media_id = u.media_id AND w.id = u.id) u"""
-PART = "SELECT * FROM fx_phrases WHERE phrase % 3 > 0"
+PART = "SELECT * REPLACE (start_ms + later AS start_ms, end_ms + later AS end_ms) FROM (SELECT *, CASE WHEN phrase % 3 = 0 THEN 1000000000 ELSE 0 END AS later FROM fx_phrases)"
 
 
 @query("speech_time", SPEECH, fx_part=PART)
 def _(t):
     w = t.words.groupBy("media_id", F.expr("turn * 10000 + pos div 8").alias("id")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("words_ms"))
-    return sg.speech_time(t.units.join(w, ["media_id", "id"]), t.phrases.filter("phrase % 3 > 0")).select("media_id", "id", "speech_ms")
+    return sg.speech_time(t.units.join(w, ["media_id", "id"]), moved(t.phrases, "phrase % 3 = 0")).select("media_id", "id", "speech_ms")
 
 
 @query("speech_spans", """WITH h AS (SELECT u.media_id, u.id, GREATEST(u.start_ms, t.start_ms) AS start_ms, LEAST(u.end_ms, t.end_ms) AS end_ms FROM fx_units u JOIN fx_part t ON t.media_id = u.media_id
   AND t.speaker = u.speaker AND t.start_ms < u.end_ms AND u.start_ms < t.end_ms)
 SELECT * FROM h UNION ALL SELECT media_id, id, start_ms, end_ms FROM fx_units u WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.media_id = u.media_id AND h.id = u.id)""", fx_part=PART)
 def _(t):
-    return sg.speech_spans(t.units, t.phrases.filter("phrase % 3 > 0"))
+    return sg.speech_spans(t.units, moved(t.phrases, "phrase % 3 = 0"))
