@@ -11,7 +11,7 @@ from .text_queries import AKSHARA, TE_DUCK, TE_SPARK
 
 @query("key_terms")
 def _(t):
-    return t.unit_text.select("media_id", "id", lint.key_terms("text").alias("terms"))
+    return lint.key_terms(t.unit_text.select("media_id", "id", "text"), "text").select("media_id", "id", "terms")
 
 
 @query("lint_lines")
