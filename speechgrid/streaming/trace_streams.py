@@ -107,12 +107,12 @@ def online_pace(events: DataFrame) -> DataFrame:
 
 
 def run_available(df: DataFrame, path: str, mode: str = "append", key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Process what is there now and return what was written under ``path``. Updates are appended with their batch number; with
-    ``key`` the last row of each key is kept."""
+    """Process what is there now and return what was written under ``path``. Each batch has a folder of its own, which a batch run
+    again after a failure writes anew; with ``key`` the last row of each key is kept."""
     spark = df.sparkSession
 
     def put(batch: DataFrame, no: int) -> None:
-        batch.withColumn("batch", F.lit(no)).write.mode("append").parquet(f"{path}/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={no}")
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start())
     q.awaitTermination()
