@@ -186,7 +186,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, list_rows: int = 128, sample_rows: int = 65_536, most_lists: int = 16_384, copies: int = 4,
-                       slack: float = 0.15, probes: int = 96, least_probes: int = 12, ratio: float = 1.25, longest: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                       slack: float = 0.15, probes: int = 256, least_probes: int = 12, ratio: float = 1.2, longest: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query the ``k`` rows of ``vectors`` of largest inner product found, without the row of the query's own id: ``query_id,
     rank`` (from 1), ``vec_id, score`` (double precision). Ties go to the smaller id; fewer candidates are all returned.
 
