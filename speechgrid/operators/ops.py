@@ -235,24 +235,26 @@ def job_report(lines: DataFrame, by: list[str] = M) -> DataFrame:
 
 def job_list(jobs: DataFrame, job_stages: DataFrame, by: str = "job_id") -> DataFrame:
     """Stages as shown: a ``done`` one whose span is shorter than the range now asked for shows ``todo``; with the job's
-    last activity to order by."""
+    last activity to order by, newest first."""
     x = job_stages.join(jobs.select(by, "updated_ms", "duration_ms", "stop_ms"), by)
     rng = _range_ms(F.col("stop_ms"), F.col("duration_ms"))
     shown = F.when((F.col("state") == "done") & F.col("span_ms").isNotNull() & (F.col("span_ms") < rng - 50), "todo").otherwise(F.col("state"))
-    return x.select(by, "updated_ms", "stage", shown.alias("state"))
+    return x.select(by, "updated_ms", "stage", shown.alias("state")).orderBy(F.desc("updated_ms"), by, "stage")
 
 
 def snapshot(jobs: DataFrame, trace: DataFrame, now_ms: int, by: list[str] = M) -> DataFrame:
-    """One row per job: status, run scope, calls, active model time, device work, units and skips. Only numbers, keys and
-    labels leave; no column with text of the recording is selected."""
+    """One row per job: status, run scope and its observed time, calls, active model time, device work, units and skips, and the
+    run's stages with wall time and outcome, by name. Only numbers, keys and labels leave; no column with text of the recording is
+    selected."""
     sc = latest_run(trace, now_ms, by)
     scope = sc.groupBy(*by).agg(F.first("scope").alias("scope"), F.min("since_ms").alias("since_ms"), F.count("*").alias("events"),
                                 F.max(F.when(F.col("event") == "run_end", F.col("t_ms"))).alias("ended_ms"))
     use = call_usage(sc, by, "since_ms", now_ms).groupBy(*by).agg(F.sum("calls").alias("calls"), F.sum("active_ms").alias("active_ms"))
     gpu = gpu_work(sc, by).groupBy(*by).agg(F.sum("run_ms").alias("gpu_run_ms"))
     fin = final_units(sc, by).select(*by, "units", "skipped")
+    stages = stage_table(sc.filter("stage is not null"), now_ms, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("stage", "wall_ms", "outcome"))).alias("stages"))
     x = jobs.select(*by, "status", "queued_ms", "updated_ms").join(scope, by, "left")
-    for d in (use, gpu, fin):
+    for d in (use, gpu, fin, stages):
         x = x.join(d, by, "left")
     return (x.withColumns({"scope": F.coalesce("scope", F.lit("recent_window_without_run_boundary")),
                            "observed_ms": F.coalesce("ended_ms", F.lit(now_ms)) - F.col("since_ms")}).drop("ended_ms")

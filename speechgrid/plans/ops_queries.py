@@ -116,13 +116,19 @@ j AS (SELECT media_id, MIN(t_ms) AS queued_ms, MAX(t_ms) AS updated_ms FROM fx_r
 SELECT j.media_id, 'running' AS status, j.queued_ms, j.updated_ms, COALESCE(ANY_VALUE(sc.scope), 'recent_window_without_run_boundary') AS scope, MIN(sc.since_ms) AS since_ms,
   COUNT(sc.event_id) AS events, COUNT(*) FILTER (sc.event = 'claude') AS calls, COALESCE(SUM(sc.run_ms) FILTER (sc.event = 'gpu_work'), 0) AS gpu_run_ms,
   COUNT(DISTINCT CASE WHEN sc.event = 'unit' THEN sc.id END) AS units,
-  COUNT(*) FILTER (sc.event = 'skipped') AS skipped
-FROM j LEFT JOIN (SELECT * FROM fx_scope) sc ON sc.media_id = j.media_id GROUP BY j.media_id, j.queued_ms, j.updated_ms""",
+  COUNT(*) FILTER (sc.event = 'skipped') AS skipped, COALESCE(MAX(sc.t_ms) FILTER (sc.event = 'run_end'), {now}) - MIN(sc.since_ms) AS observed_ms, ANY_VALUE(st.stages) AS stages
+FROM j LEFT JOIN (SELECT * FROM fx_scope) sc ON sc.media_id = j.media_id LEFT JOIN (
+  SELECT media_id, string_agg(stage || ':' || COALESCE(wall_ms, -1) || ':' || outcome, ',' ORDER BY stage) AS stages FROM (
+    SELECT s.media_id, s.stage, CASE WHEN f.n IS NULL THEN {now} - s.start_ms ELSE f.wall_ms END AS wall_ms, COALESCE(f.outcome, 'in_progress') AS outcome
+    FROM (SELECT media_id, stage, MAX(t_ms) AS start_ms FROM fx_scope WHERE event = 'stage_start' AND stage IS NOT NULL GROUP BY ALL) s
+    LEFT JOIN (SELECT media_id, stage, COUNT(*) AS n, arg_max(wall_ms, (t_ms, event_id)) AS wall_ms, arg_max(outcome, (t_ms, event_id)) AS outcome FROM fx_scope WHERE event = 'stage_timing' AND stage IS NOT NULL GROUP BY ALL) f
+      USING (media_id, stage)) GROUP BY media_id) st ON st.media_id = j.media_id GROUP BY j.media_id, j.queued_ms, j.updated_ms""".format(now=NOW),
        **dict(RV, fx_scope=SCOPE.replace("900000000", "900000")))
 def _(t):
     r = runs(t)
     jobs = r.groupBy("media_id").agg(F.min("t_ms").alias("queued_ms"), F.max("t_ms").alias("updated_ms")).withColumn("status", F.lit("running"))
-    return ops.snapshot(jobs, r, NOW).drop("active_ms", "observed_ms")
+    shown = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["stage"], F.coalesce(s["wall_ms"], F.lit(-1)).cast("string"), s["outcome"])), ",")
+    return ops.snapshot(jobs, r, NOW).drop("active_ms").withColumn("stages", shown)
 
 
 # Jobs with a preview stop for some and stages from their figures.
