@@ -52,7 +52,7 @@ def _(t):
     return sp.link_speakers(blocks(t), turns, voices(t))
 
 
-@query("merge_centroids", """SELECT label, list_sum(list_transform(range(1, 65), lambda i: v[i] * v[i])) BETWEEN 0.999999 AND 1.000001 AS unit_length, round(list_sum(list_transform(range(1, 65), lambda i: i * v[i])), 6) AS by_place, round(v[1], 6) AS first, round(v[64], 6) AS last,
+@query("merge_centroids", """SELECT label, list_sum(list_transform(range(1, 65), lambda i: v[i] * v[i])) BETWEEN 0.999999 AND 1.000001 AS unit_length, round(list_sum(list_transform(range(1, 65), lambda i: i * v[i])), 4) AS by_place, round(v[1], 5) AS first, round(v[64], 5) AS last,
   CAST(w AS BIGINT) AS weight_ms FROM (
   SELECT label, list(1.0::DOUBLE) AS one, (SELECT list(x / n ORDER BY i) FROM (SELECT i, SUM(e.embedding[i] * (100 + e.vec_id)) AS x FROM embeddings e, range(1, 65) r(i) WHERE e.label = o.label GROUP BY i),
    (SELECT sqrt(SUM(x * x)) AS n FROM (SELECT i, SUM(e.embedding[i] * (100 + e.vec_id)) AS x FROM embeddings e, range(1, 65) r(i) WHERE e.label = o.label GROUP BY i))) AS v, SUM(100 + vec_id) AS w
@@ -61,8 +61,8 @@ def _(t):
     e = t.read("embeddings").selectExpr("label", "transform(embedding, x -> double(x)) AS centroid", "100 + vec_id AS talk_ms")
     m = sp.merge_centroids(e, ["label"])
     by_place = F.expr("aggregate(transform(centroid, (x, i) -> (i + 1) * x), 0D, (a, x) -> a + x)")
-    return m.select("label", dot("centroid", "centroid").between(0.999999, 1.000001).alias("unit_length"), F.round(by_place, 6).alias("by_place"), F.round(F.col("centroid")[0], 6).alias("first"),
-                    F.round(F.col("centroid")[63], 6).alias("last"), F.col("weight_ms").cast("bigint").alias("weight_ms"))
+    return m.select("label", dot("centroid", "centroid").between(0.999999, 1.000001).alias("unit_length"), F.round(by_place, 4).alias("by_place"), F.round(F.col("centroid")[0], 5).alias("first"),
+                    F.round(F.col("centroid")[63], 5).alias("last"), F.col("weight_ms").cast("bigint").alias("weight_ms"))
 
 
 @query("remap_speakers", islands("fx_new", by="media_id, speaker", rule="start_ms <= top + 1"),
