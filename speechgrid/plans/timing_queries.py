@@ -382,7 +382,7 @@ def _(t):
 @query("gain_envelope", """WITH f AS (SELECT media_id, unnest(range(0, (duration_ms - 1) // 100 + 1)) AS frame_no FROM fx_durations),
 r AS (SELECT f.media_id, f.frame_no, kind, MAX(CASE WHEN frame_no * 100 < start_ms THEN 0.5 - 0.5 * cos(pi() * (frame_no * 100 - start_ms + 150) / 150)
    WHEN frame_no * 100 < end_ms THEN 1.0 ELSE 0.5 + 0.5 * cos(pi() * (frame_no * 100 - end_ms) / 400) END) AS r
-  FROM f JOIN fx_spans s ON s.media_id = f.media_id AND frame_no * 100 >= start_ms - 150 AND frame_no * 100 < end_ms + 400 GROUP BY ALL)
+  FROM (SELECT media_id, kind, start_ms, end_ms, unnest(range(GREATEST(CAST(ceil((start_ms - 150) / 100.0) AS BIGINT), 0), CAST(ceil((end_ms + 400) / 100.0) AS BIGINT))) AS frame_no FROM fx_spans) f GROUP BY ALL)
 SELECT f.media_id, f.frame_no, pow(10.0::DOUBLE, (COALESCE(d.r, 0) * -6 + COALESCE(b.r, 0) * -6) / 20) AS gain FROM f
 LEFT JOIN (SELECT * FROM r WHERE kind = 'duck') d ON d.media_id = f.media_id AND d.frame_no = f.frame_no
 LEFT JOIN (SELECT * FROM r WHERE kind = 'bare') b ON b.media_id = f.media_id AND b.frame_no = f.frame_no""", **DUCK)
