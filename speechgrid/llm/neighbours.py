@@ -186,7 +186,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, list_rows: int = 128, sample_rows: int = 65_536, most_lists: int = 16_384, copies: int = 4,
-                       slack: float = 0.15, probes: int = 256, least_probes: int = 12, ratio: float = 1.2, longest: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                       slack: float = 0.15, probes: int = 96, least_probes: int = 12, ratio: float = 1.25, longest: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query the ``k`` rows of ``vectors`` of largest inner product found, without the row of the query's own id: ``query_id,
     rank`` (from 1), ``vec_id, score`` (double precision). Ties go to the smaller id; fewer candidates are all returned.
 
@@ -217,8 +217,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
     probing = probing.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = (probing.select("list", "part", "key", "v").groupBy("list", "part").cogroup(held.select("list", "part", "v", "ids").groupBy("list", "part"))
            .applyInPandas(_score(k + 1), "key long, found array<struct<score: double, less: long>>"))
-    # a list gives a vector at most once, several lists the same score for it
-    best = met.groupBy("key").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found"))), asc=False), 1, k + 1).alias("found"))
+    # a vector is in at most ``copies`` lists, each of which gives it the same score
+    best = met.groupBy("key").agg(F.slice(F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list("found")), asc=False), 1, (k + 1) * copies)), 1, k + 1).alias("found"))
     named = keyed.join(points.select("v", "key"), "v").select("query_id", "key").join(best, "key")
     own = F.filter("found", lambda x: -x["less"] != F.col("query_id"))
     return named.select("query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), (-F.col("x.less")).alias("vec_id"), F.col("x.score").alias("score"))
