@@ -111,7 +111,9 @@ def build(sample: np.ndarray, longest_norm: float, lists: int, degree: int = 24,
             graph[s:s + 1024] = np.argpartition(far, degree - 1, axis=1)[:, :degree]
     # a ring through all of them, so that every centroid can be reached
     order = rng.permutation(len(c))
-    graph = np.concatenate((graph, order[(np.argsort(order) + 1) % len(c)][:, None]), axis=1)
+    ring = order[(np.argsort(order) + 1) % len(c)]
+    ring = np.where((graph == ring[:, None]).any(axis=1), np.arange(len(c)), ring)  # a row names no centroid twice
+    graph = np.concatenate((graph, ring[:, None]), axis=1)
     index.graph, index.entries = graph, np.sort(rng.choice(len(c), min(entries, len(c)), replace=False))
     return index
 

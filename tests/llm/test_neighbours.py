@@ -71,6 +71,7 @@ def test_walk_finds_nearest_centroids():
     assert {len(p) for p in N.halve(x, np.arange(4000), 16, rng)} <= {15, 16}
     q = index.lift(x[:200], True)
     ids, dist = index.nearest(q, 16)
+    assert all(len(set(row)) == 16 for row in ids.tolist())
     far = np.sqrt(((q[:, None] - index.centroids[None]) ** 2).sum(-1))
     assert np.mean([len(set(a) & set(np.argsort(b)[:16])) / 16 for a, b in zip(ids.tolist(), far, strict=True)]) > 0.95
     assert np.allclose(np.take_along_axis(far, ids, 1), dist, atol=1e-3) and (np.diff(dist) >= 0).all()
