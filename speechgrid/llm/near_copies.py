@@ -1,14 +1,17 @@
 """Near copies by word-shingle similarity, for the pipeline: SimHash links and band links, each checked on the whole texts.
 
 The SimHash search finds texts whose fingerprints differ in two bits. A share of 0.8 of common shingles leaves some ten differing
-bits, which no pigeonhole over 64 bits can search, so bands of minimum hashes find the rest: texts that agree in a band link to one
-of them, chosen anew for each band, so a band's group gives as many candidates as members, never all pairs. Every candidate is then
-kept or dropped by the exact share of common shingles of both whole texts.
+bits, which no pigeonhole over 64 bits can search, so bands of minimum hashes find the rest: texts that agree in a band, or in the
+whole fingerprint, are a group. In rounds, a group's members are tried against centres, and whoever was a centre leaves the group;
+a group is done when what is left of it is one component. So every two members of a group are in the end tried or connected. The
+first centre is any member; later the member with the most links leads, as the original of many edits does after one round, and the
+number of centres grows fourfold a round. A group without links costs all its pairs. A candidate is dropped at once if 2,048 hashed
+bits of both texts prove too many shingles apart; the rest are kept or dropped by the exact share of common shingles of both texts.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,8 @@ from .common import by_batch, id_and_text, utf8
 from .components import components
 from .simhash import majority, near_links, shingle_hashes
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("bits", pa.binary())])
+_BITS = 2048
 
 
 @lru_cache(maxsize=4)
@@ -39,14 +43,34 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int, seed: int = 11) -> list
     return ((least.reshape(bands, rows) ^ (least.reshape(bands, rows) >> np.uint64(29))) * mix + add).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The bits that distinct hashes set: texts differ in at least as many shingles as bits."""
+    out = np.zeros(_BITS, dtype=bool)
+    out[(hashes >> np.uint64(20)) % np.uint64(_BITS)] = True
+    return np.packbits(out).tobytes()
+
+
 def _sign(size: int, bands: int, rows: int):
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        prints, keys = [], []
+        prints, keys, counts, bits = [], [], [], []
         for t in utf8(b.column(1)):
             h = shingle_hashes(t, size)
             prints.append(majority(h))
-            keys.append(band_keys(np.unique(h), bands, rows))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED)
+            h = np.unique(h)
+            keys.append(band_keys(h, bands, rows))
+            counts.append(len(h))
+            bits.append(sketch(h))
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip((prints, keys, counts, bits), _SIGNED.types[1:], strict=True))], schema=_SIGNED)
+    return each
+
+
+def _possible(least: float):
+    """Drops pairs whose sketches prove a share below ``least``: of s shingles in both, more than s (1 - least) / (1 + least) differ."""
+    def each(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, m = (b.column(k).to_numpy() for k in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(len(n), -1) for k in (4, 5))
+        apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+        return b.select([0, 1]).filter(pa.array(apart <= (n + m) * (1 - least) / (1 + least) + 1e-6))
     return each
 
 
@@ -64,6 +88,16 @@ def _alike(size: int, least: float):
     return each
 
 
+def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs ``a, b`` that share at least ``least`` of their shingles."""
+    def both(links: DataFrame, of: DataFrame) -> DataFrame:
+        one, two = (of.select(*(F.col(c).alias(e if c == "doc_id" else c + e) for c in of.columns)) for e in ("a", "b"))
+        return links.join(one, "a").join(two, "b").select("a", "b", *(c + e for c in of.columns if c != "doc_id" for e in ("a", "b")))
+
+    may = both(pairs, sketches).mapInArrow(by_batch(_possible, least), "a long, b long").distinct()
+    return both(stage(may), texts).mapInArrow(by_batch(_alike, size, least), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of every document that shares at least ``least`` of its ``size``-word shingles with another, and of
     those linked to it: the smallest id reachable. Documents without a link are not listed.
@@ -71,17 +105,38 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int =
     A null text is empty; texts without words are alike. Rows with a null id take no part. Rows that repeat an id are one document,
     with the links of all its texts. Other columns are ignored. No rows give no rows."""
     source = id_and_text(docs, id_col, text_col).filter("doc_id is not null")
-    signed = stage(source.mapInArrow(by_batch(_sign, size, bands, rows), "doc_id long, fp long, bands array<long>"))
+    signed = stage(source.mapInArrow(by_batch(_sign, size, bands, rows), "doc_id long, fp long, bands array<long>, n long, bits binary"))
     owners = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("owner")))
     links = near_links(owners.select("fp"))
     by_bits = (links.join(owners.select(F.col("fp").alias("a"), F.col("owner").alias("x")), "a").join(owners.select(F.col("fp").alias("b"), F.col("owner").alias("y")), "b").select("x", "y"))
-    same_bits = signed.join(owners, "fp").select(F.col("owner").alias("x"), F.col("doc_id").alias("y"))
-    keys = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    centres = (keys.groupBy("band", "key").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", "band"), "doc_id")).alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    by_band = keys.join(centres, ["band", "key"]).select(F.col("centre").alias("x"), F.col("doc_id").alias("y"))
-    pairs = by_bits.unionByName(same_bits).unionByName(by_band).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = stage(pairs)
-    left = source.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = source.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    alike = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(by_batch(_alike, size, least), "a long, b long")
-    return components(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    keys = signed.select("doc_id", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
+    sketches, texts = signed.select("doc_id", "n", "bits"), source.select("doc_id", "text")
+    group, tried, found, roots, round_ = ["band", "key"], None, [], None, 0
+    left = keys
+    while True:
+        if roots is None:
+            left = left.withColumn("root", F.col("doc_id")).withColumn("links", F.lit(0))
+        else:
+            left = left.join(roots, "doc_id", "left").select("doc_id", *group, F.coalesce("root", "doc_id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        apart = left.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select(*group)
+        members = stage(left.join(apart, group, "left_semi"))
+        if round_ and members.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("doc_id", "band", F.lit(round_)), F.lit(4 ** min(round_, 15)))
+        centres = stage(members.groupBy(*group, slot.alias("slot")).agg(F.max_by(F.struct("doc_id", "root"), F.struct("links", F.xxhash64("doc_id", "band"), "doc_id")).alias("c"))
+                        .select(*group, F.col("c.doc_id").alias("centre"), F.col("c.root").alias("centre_root")))
+        pairs = members.join(centres, group).filter("root <> centre_root").select(F.col("centre").alias("x"), F.col("doc_id").alias("y"))
+        if not round_:
+            pairs = pairs.unionByName(by_bits)
+        pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        alike = stage(_checked(pairs, sketches, texts, size, least))
+        if not found or not alike.isEmpty():
+            found.append(alike)
+            every = reduce(DataFrame.unionByName, found)
+            ends = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+            roots = stage(components(every).join(ends, "node").select(F.col("node").alias("doc_id"), "root", "links"))
+        left = members.select("doc_id", *group).join(centres.select(*group, F.col("centre").alias("doc_id")), ["doc_id", *group], "left_anti")
+        round_ += 1
+    return roots.select("doc_id", F.col("root").alias("component_id"))
