@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and strings that zstandard cannot compress with a dictionary of what stands around them.
 
 The patterns give the base spans. Beyond them, a candidate is a long run of token characters with letters and digits, shortly
-after a word such as ``key`` or ``credential`` on its line. Its novelty is what it adds to the compressed size, in bytes a
+after a word such as ``key`` or ``credential`` on its line, or on the last line before it that is not blank if no other candidate
+stands between; lines of nothing but candidates go on from such a one. The body of a private key block is one candidate. Its novelty is what it adds to the compressed size, in bytes a
 character, when the compressor is primed with a dictionary of common identifiers and with the text around the candidate (without
 further copies of itself): names and placeholders are found there and cost next to nothing, a random string nearly its own length.
+A long random string of few kinds of characters costs less, as zstandard packs its letters; it is held against random strings of
+the same length and kinds of characters.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 import builtins
 import hashlib
 import keyword
+import math
+import random
 import re
 from functools import lru_cache
 
@@ -28,8 +33,22 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
+CANDIDATE_ONLY = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|credential|auth|bearer|private|signature|pwd", re.IGNORECASE | re.ASCII)
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+BREAK = re.compile(r"(?:\\[rn]|\s)+")
+#: Kinds of characters, narrowest first, and the share of the cost of random strings from which a string counts as random.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789ABCDEFabcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567", "0123456789abcdefghijklmnopqrstuvwxyz",
+             "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SHARE = 0.9
+
+
+def alphabet_of(body: str) -> str:
+    """The narrowest kind that holds its letters and digits, with the other characters that it has."""
+    used = set(body)
+    others = used.difference(ALPHABETS[-1])
+    return next(a for a in ALPHABETS if used.difference(others) <= set(a)) + "".join(sorted(others))
 
 
 def default_identifiers() -> str:
@@ -58,26 +77,88 @@ class Novelty:
 
         self.zstd, self.names = zstandard, identifiers.encode()
         self.window, self.reach, self.least = window, reach, least
+        self.random: dict[tuple[str, int], float] = {}
         self.empty = len(self.compressor(b" ").compress(b""))
 
     def compressor(self, around: bytes):
         primed = self.zstd.ZstdCompressionDict(self.names + b"\n" + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
         return self.zstd.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def marginal(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes that the span adds, for each of its characters."""
+    def cost(self, body: str, around: str) -> float:
+        return (len(self.compressor(around.encode()).compress(body.encode())) - self.empty) / len(body)
+
+    def marginal(self, text: str, start: int, end: int, body: str | None = None) -> float:
+        """Compressed bytes that the span (or ``body``, what counts of it) adds, for each of its characters."""
         around = (text[max(0, start - self.window):start] + "\n" + text[end:end + self.window]).replace(text[start:end], "")
-        return (len(self.compressor(around.encode()).compress(text[start:end].encode())) - self.empty) / (end - start)
+        return self.cost(text[start:end] if body is None else body, around)
+
+    def random_cost(self, alphabet: str, length: int) -> float:
+        """The mean cost of three random strings."""
+        at = (alphabet, length)
+        if at not in self.random:
+            if len(self.random) >= 4096:
+                self.random.clear()
+            rng = random.Random(f"{length} {alphabet}")
+            self.random[at] = sum(self.cost("".join(rng.choices(alphabet, k=length)), "") for _ in range(3)) / 3
+        return self.random[at]
+
+    def novel(self, text: str, start: int, end: int, body: str | None = None) -> bool:
+        cost = self.marginal(text, start, end, body)
+        if cost >= self.least:
+            return True
+        body = text[start:end] if body is None else body
+        alphabet = alphabet_of(body)
+        # no random string costs less than its entropy
+        return cost >= SHARE * math.log2(len(alphabet)) / 8 and cost >= SHARE * self.random_cost(alphabet, len(body))
+
+    def blocks(self, text: str) -> list[tuple[int, int]]:
+        """The bodies of private key blocks that have an END line: from the first to the last line without a colon."""
+        out = []
+        for m in BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
+            stop = text.find("-----END", m.end())
+            if stop < 0 or "-----BEGIN" in text[m.end():stop]:
+                continue
+            lines, at = [], m.end()
+            for gap in [*BREAK.finditer(text, m.end(), stop), None]:
+                end = gap.start() if gap else stop
+                if end > at:
+                    lines.append((at, end))
+                at = gap.end() if gap else stop
+            # a header such as "DEK-Info: AES-128-CBC,01AB" ends with its line
+            lines = [(s, e) for s, e in lines if ":" not in text[max(text.rfind("\n", 0, s), m.end() - 1) + 1:e] and CANDIDATE_ONLY.fullmatch(text, s, e)]
+            body = "".join(text[s:e] for s, e in lines)
+            if body and self.novel(text, lines[0][0], lines[-1][1], body):
+                out.append((lines[0][0], lines[-1][1]))
+        return out
+
+    def named(self, text: str, start: int) -> bool:
+        """Whether a sensitive word stands before ``start`` on its line, or on the last line before that is not blank, after the
+        candidates of that line."""
+        line = text.rfind("\n", 0, start) + 1
+        if SENSITIVE.search(text[max(line, start - self.reach):start]):
+            return True
+        end = line
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end or CANDIDATE.search(text, line, start):
+            return False
+        return bool(SENSITIVE.search(CANDIDATE.split(text[max(text.rfind("\n", 0, end) + 1, end - self.reach):end])[-1]))
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
+        blocks = self.blocks(text)
+        out, goes_on = [(s, 3, e) for s, e in blocks], -1
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             body = m[0]
-            if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)) or any(s < end and start < e for s, _, e in base):
+            if any(s < end and start < e for s, e in blocks):
+                continue
+            # the whole line, and the line before was one that counts
+            alone = not text[text.rfind("\n", 0, start) + 1:start].strip() and not text[end:e if (e := text.find("\n", end)) >= 0 else None].strip()
+            named = self.named(text, start) or (alone and goes_on >= 0 and not text[goes_on:start].strip())
+            goes_on = end if named and alone else -1
+            if not named or not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)) or any(s < end and start < e for s, _, e in base):
                 continue
-            before = text[max(0, start - self.reach):start].rpartition("\n")[2]
-            if SENSITIVE.search(before) and self.marginal(text, start, end) >= self.least:
+            if self.novel(text, start, end):
                 out.append((start, 3, end))
         return out
 
@@ -125,7 +206,8 @@ def secret_scan(docs: DataFrame, identifiers: str | None = None, window: int = 2
     exclusive), and ``masked``, the text with its spans replaced by ``by`` (null without ``with_text``, or where nothing is found).
 
     ``identifiers`` primes the compressor, with ``window`` characters on both sides of a candidate; a candidate needs a sensitive
-    word within ``reach`` characters before it on its line and ``least`` compressed bytes a character. A null text is empty and has
+    word within ``reach`` characters before it on its line, or at the end of the last line before that is not blank, and ``least``
+    compressed bytes a character or what random strings like it cost. A null text is empty and has
     no spans. A null id is kept. Repeated rows each get a row. Other columns are ignored. No rows give no rows."""
     args = (with_text, by, default_identifiers() if identifiers is None else identifiers, window, reach, least)
     return id_and_text(docs, id_col, text_col).mapInArrow(
