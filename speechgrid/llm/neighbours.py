@@ -4,7 +4,8 @@ A bounded sample is halved again and again, each time into two equal parts along
 as small as a list should be: their means are the centroids of balanced lists. The centroids and a graph of their neighbours are
 small enough for every task. A vector finds its nearest centroids by a best-first walk on the graph and goes to the nearest list,
 and, as a boundary copy, to others that are nearly as near. A query walks the same graph and reads the lists whose distance is within a ratio of the nearest; there, inner products in double
-precision rank what it meets.
+precision rank what it meets. How many lists and what ratio that takes is measured: some queries are compared with every vector, and
+the lists in which their true neighbours lie tell how far all queries must read.
 
 Largest inner product becomes smallest distance by one more coordinate that brings all vectors to one length. Equal vectors are
 one entry with the ``k + 1`` smallest ids: ties go to the smaller id, so no other copy can be among ``k`` results. A list that is
@@ -44,11 +45,26 @@ class Index:
         width, for a block of vectors at a time."""
         k = len(self.centroids)
         width = min(width, k)
+        if width * self.graph.shape[1] >= k:  # a walk would measure as many distances
+            return self._all(x, width)
         ids, dist = np.empty((len(x), width), dtype=np.int64), np.empty((len(x), width), dtype=np.float32)
         for s in range(0, len(x), _BLOCK):
             ids[s:s + _BLOCK], dist[s:s + _BLOCK] = self._walk(x[s:s + _BLOCK], width)
         return ids, dist
 
+    def _all(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` by the distances of all centroids."""
+        ids, dist = np.empty((len(x), width), dtype=np.int64), np.empty((len(x), width), dtype=np.float32)
+        c = self.centroids.astype(np.float64)
+        norms = (c ** 2).sum(axis=1)
+        for s in range(0, len(x), _BLOCK):
+            y = x[s:s + _BLOCK].astype(np.float64)
+            far = np.maximum(norms[None] - 2 * y @ c.T + (y ** 2).sum(axis=1)[:, None], 0)
+            at = np.argpartition(far, width - 1, axis=1)[:, :width]
+            at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
+            ids[s:s + _BLOCK], dist[s:s + _BLOCK] = at, np.sqrt(np.take_along_axis(far, at, 1))
+        return ids, dist
+
     def _far(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
         d = self.centroids[c] - x[:, None, :]
         return np.einsum("bnd,bnd->bn", d, d)
@@ -177,6 +193,41 @@ def _score(k: int):
     return run
 
 
+def _compare(asked: np.ndarray, k: int):
+    """The best ``k`` of a task's vectors for each of the few queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = np.full((len(asked), 0), 0.0), np.zeros((len(asked), 0, asked.shape[1]))
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1)).astype(np.float64)
+                score = asked @ x.T
+                at = np.argpartition(-score, min(k, len(x)) - 1, axis=1)[:, :k]
+                best, held = np.concatenate((best, np.take_along_axis(score, at, 1)), axis=1), np.concatenate((held, x[at]), axis=1)
+                by = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, held = np.take_along_axis(best, by, 1), np.take_along_axis(held, by[:, :, None], 1)
+        if best.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), best.shape[1])), pa.array(best.ravel()), pa.array(list(held.reshape(-1, asked.shape[1])), pa.list_(pa.float64()))], names=["q", "score", "v"])
+    return run
+
+
+def reach(index: Index, entries: DataFrame, asked: np.ndarray, k: int, copies: int, slack: float, recall: float) -> tuple[int, float]:
+    """How many lists, and up to which ratio of the nearest one's distance, the queries ``asked`` must read to meet a share of
+    ``recall`` of their ``k`` nearest entries."""
+    met = entries.mapInArrow(_compare(asked, k), "q long, score double, v array<double>")
+    best = met.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "v")), asc=False), 1, k).alias("best")).select("q", F.explode("best.v").alias("v")).collect()
+    row, lists = lists_of(index, np.array([r.v for r in best]).astype(np.float32), copies, slack)
+    ids, dist = index._all(index.lift(asked.astype(np.float32), True), len(index.centroids))
+    place = np.empty_like(ids)
+    np.put_along_axis(place, ids, np.broadcast_to(np.arange(ids.shape[1]), ids.shape), 1)
+    of = np.array([r.q for r in best])
+    first = np.full(len(best), ids.shape[1] - 1)
+    np.minimum.at(first, row, place[of[row], lists])
+    far = dist[of, first] / np.maximum(dist[of, 0], 1e-9)
+    # lists are read in order of distance and both limits must hold: each may lose half
+    at = (1 + recall) / 2
+    return int(np.quantile(first, at, method="higher")) + 1, float(np.quantile(far, at, method="higher"))
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v``: rows with an id and a vector of the table's most frequent length that is not zero and has only finite
     components."""
@@ -188,12 +239,13 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, list_rows: int = 128, sample_rows: int = 65_536, most_lists: int = 16_384, copies: int = 4,
-                       slack: float = 0.15, probes: int = 96, least_probes: int = 12, ratio: float = 1.25, longest: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                       slack: float = 0.15, probes: int = 96, least_probes: int = 12, ratio: float = 1.25, longest: int = 4_096, recall: float = 0.95, measured: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query the ``k`` rows of ``vectors`` of largest inner product found, without the row of the query's own id: ``query_id,
     rank`` (from 1), ``vec_id, score`` (double precision). Ties go to the smaller id; fewer candidates are all returned.
 
     The centroids come from about ``sample_rows`` rows chosen by a hash of the id, with lists of ``list_rows`` rows, at most
-    ``most_lists`` of them; every row is indexed. Rows and queries with a null id or a vector that is null, zero, of another length
+    ``most_lists`` of them; every row is indexed. ``probes`` lists are read within ``ratio`` of the nearest one's distance, or as many
+    and as far as ``measured`` of the queries, compared with every row, need for ``recall``, if that is more. Rows and queries with a null id or a vector that is null, zero, of another length
     than most, or with a null or non-finite component take no part. Rows that repeat an id and its vector are one; an id with
     several vectors stands for each. Other columns are ignored. No rows give no rows."""
     spark = vectors.sparkSession
@@ -205,7 +257,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
         return spark.createDataFrame([], empty)
     drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = np.array([r.v for r in rows.filter(drawn < sample_rows / told.n).orderBy("vec_id").select("v").toLocalIterator()] or [rows.first().v])
-    pickled = pickle.dumps(build(sample, float(np.sqrt(told.m)), int(min(most_lists, max(1, len(sample) // 4), -(-told.n // list_rows)))))
+    index = build(sample, float(np.sqrt(told.m)), int(min(most_lists, max(1, len(sample) // 4), -(-told.n // list_rows))))
+    pickled = pickle.dumps(index)
 
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     entries = (rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -215,6 +268,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, k:
     held = held.join(sizes, "list").withColumn("part", F.pmod("key", "parts"))
     keyed = stage(asked.select(F.col("vec_id").alias("query_id"), "v"))
     points = keyed.groupBy("v").agg(F.min("query_id").alias("key")).select("key", "v")
+    if probes < len(index.centroids):
+        few = points.orderBy(F.xxhash64("key", F.lit(7)), "key").limit(measured).collect()
+        if few:
+            need, far = reach(index, entries, np.array([r.v for r in few]), k + 1, copies, slack, recall)
+            probes, ratio = max(probes, need), max(ratio, far * (1 + 1e-5))
     probing = points.mapInArrow(_ask(pickled, probes, least_probes, ratio), "list long, key long, v array<double>")
     probing = probing.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = (probing.select("list", "part", "key", "v").groupBy("list", "part").cogroup(held.select("list", "part", "v", "ids").groupBy("list", "part"))
