@@ -18,6 +18,7 @@ from .pieces import piece_encode
 from .quotes import reply_order
 from .secrets import secret_scan
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,8 @@ def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_reply_order")
 def op6_reply_order(spark: SparkSession, folder: str) -> DataFrame:
     return reply_order(read(spark, folder, "conversations"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(read(spark, folder, "documents"), every=31)
