@@ -19,6 +19,7 @@ from .quotes import reply_order
 from .secrets import secret_scan
 from .simhash import simhash_groups
 from .spelling import spelling_variants
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,9 @@ def op6_reply_order(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_spelling_variants")
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(read(spark, folder, "documents"), every=31)
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    # at some millions of rows the exact sum no longer fits a long: then null, and whole in deviation_exact
+    return whiten(read(spark, folder, "embeddings")).withColumns({"deviation": F.col("deviation").try_cast("long"), "deviation_exact": F.col("deviation")})
