@@ -14,6 +14,7 @@ from .language import identify, learn
 from .licenses import license_scan
 from .neighbours import nearest_neighbours
 from .packing import pack
+from .pages import extract_main
 from .pieces import piece_encode
 from .quotes import reply_order
 from .secrets import secret_scan
@@ -116,3 +117,8 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     # at some millions of rows the exact sum no longer fits a long: then null, and whole in deviation_exact
     return whiten(read(spark, folder, "embeddings")).withColumns({"deviation": F.col("deviation").try_cast("long"), "deviation_exact": F.col("deviation")})
+
+
+@query("op11_main_text")
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main(read(spark, folder, "pages"))
