@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.scan import prev, running_max, running_sum, scan
 from ..functions.spans import bucket_of
+from ..session import stage
 from .intervals import interval_length
 from .timing import plan_stats, timing_report
 
@@ -55,10 +57,10 @@ def call_usage(trace: DataFrame, by: list[str] = M, since: str | int = "since_ms
     key = [*by, "provider", "model", "call"]
     ok = F.when(F.col("error").isNull(), F.col("wall_ms"))
     a = c.groupBy(*key).agg(
-        F.count("*").alias("calls"), F.percentile("wall_ms", F.lit(0.5)).alias("p50_ms"), F.max("wall_ms").alias("max_ms"),
-        F.count(ok).alias("successful_calls"), F.percentile(ok, F.lit(0.5)).alias("successful_p50_ms"), F.max(ok).alias("successful_max_ms"),
+        F.count("*").alias("calls"), F.max("wall_ms").alias("max_ms"), F.count(ok).alias("successful_calls"), F.max(ok).alias("successful_max_ms"),
         F.sum("wall_ms").alias("summed_ms"), F.sum("input_tokens").alias("input_tokens"), F.sum("cache_read_tokens").alias("cached_tokens"),
-        F.sum("cache_creation_tokens").alias("__made"))
+        F.sum("cache_creation_tokens").alias("__made")).join(
+            quantiles(c, key, {"all": (F.col("wall_ms"), {"p50_ms": 0.5}), "ok": (ok, {"successful_p50_ms": 0.5})}), key, "left")
     total = (F.when(F.col("provider") == "codex", F.col("input_tokens"))
              .when(F.col("provider").isin("claude", "anthropic") | F.col("model").startswith("claude-"),
                    F.col("input_tokens") + F.col("cached_tokens") + F.col("__made")))
@@ -278,8 +280,9 @@ def compare_arms(runs: DataFrame, base: str, metric: str = "value", key: list[st
     x = runs.join(full, key, "left_semi")
     b = x.filter(F.col("arm") == base).select(*key, F.col(metric).alias("__b"))
     change = (F.col(metric) - F.col("__b")) / F.col("__b")
-    return x.join(b, key).groupBy("arm").agg(F.count("*").alias("pairs"), F.percentile(metric, F.lit(0.5)).alias("median"),
-                                            F.percentile(change, F.lit(0.5)).alias("median_change"))
+    x = stage(x.join(b, key).select("arm", F.col(metric).alias("__v"), change.alias("__change")))
+    return x.groupBy("arm").agg(F.count("*").alias("pairs")).join(
+        quantiles(x, ["arm"], {"value": (F.col("__v"), {"median": 0.5}), "change": (F.col("__change"), {"median_change": 0.5})}), "arm", "left")
 
 
 def blind_rows(rows: DataFrame, key: list[str], seed: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.scan import running_max, running_sum, scan
 from ..functions.spans import bucket_of, overlap_join
 from ..functions.vectors import dot, unit_vector
@@ -341,7 +342,8 @@ def pitch_vote(frames: DataFrame, key: list[str] = ["media_id", "speaker"], fram
     (female) when 80 % of the pitches lie in 70-160 (190-350) Hz. ``frames(key, hz)``; hz NULL where not periodic."""
     hz = F.col("hz")
     g = frames.groupBy(*key).agg(F.count("*").alias("n"), F.count(hz).alias("p"), F.count_if(hz.between(70, 160)).alias("low"),
-                                 F.count_if(hz.between(190, 350)).alias("high"), F.percentile(hz, F.lit(0.5)).alias("median_hz"))
+                                 F.count_if(hz.between(190, 350)).alias("high"))
+    g = g.join(quantiles(frames, key, {"hz": (hz, {"median_hz": 0.5})}), key, "left")
     enough = (F.col("p") * frame_ms >= min_voiced_ms) & (F.col("p") >= min_periodic * F.col("n"))
     r = (F.when(enough & (F.col("low") >= share * F.col("p")), "male").when(enough & (F.col("high") >= share * F.col("p")), "female").otherwise("unresolved"))
     return g.select(*key, r.alias("range"), "median_hz")

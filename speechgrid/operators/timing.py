@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pace as model
+from ..functions.quantiles import quantiles
 from ..functions.scan import following, prev, running_max, scan
 from ..functions.spans import bucket_of, overlap_join, point_join
+from ..session import stage
 from .intervals import interval_length, interval_union, rolling_load, shared_length
 
 cloudpickle.register_pickle_by_value(model)
@@ -127,23 +129,21 @@ def speech_metrics(lines: DataFrame, speech: DataFrame, voiced: DataFrame, by: l
                    anchors: DataFrame | None = None, long_ms: int = 8_000, early_ms: int = 1_000) -> DataFrame:
     """Corpus KPIs per ``by``: end error p10/p50/p90, share ending early, long-line median, mean overlap, silent seconds
     per minute of speech (unions over all lines, skipped ones included) and anchor onset error."""
-    m = line_metrics(lines, speech, voiced, [*by, "id"])
+    m = stage(line_metrics(lines, speech, voiced, [*by, "id"]).select(*by, "start_ms", "end_ms", "end_error_ms", "overlap"))
     e = F.col("end_error_ms")
     is_long = F.col("end_ms") - F.col("start_ms") > long_ms
+    places = quantiles(m, by, {"all": (e, {"end_error_p10": 0.1, "end_error_p50": 0.5, "end_error_p90": 0.9}), "long": (F.when(is_long, e), {"long_end_error_p50": 0.5})})
     agg = m.groupBy(*by).agg(
-        F.count(e).alias("speech_lines"), F.percentile(e, F.lit(0.1)).alias("end_error_p10"),
-        F.percentile(e, F.lit(0.5)).alias("end_error_p50"), F.percentile(e, F.lit(0.9)).alias("end_error_p90"),
-        F.avg(F.when(e.isNotNull(), F.when(e < -early_ms, 1.0).otherwise(0.0))).alias("end_early_share"),
-        F.count(F.when(is_long, e)).alias("long_lines"),
-        F.percentile(F.when(is_long, e), F.lit(0.5)).alias("long_end_error_p50"), F.avg("overlap").alias("overlap_mean"))
+        F.count(e).alias("speech_lines"), F.avg(F.when(e.isNotNull(), F.when(e < -early_ms, 1.0).otherwise(0.0))).alias("end_early_share"),
+        F.count(F.when(is_long, e)).alias("long_lines"), F.avg("overlap").alias("overlap_mean")).join(places, by, "left")
     heard = interval_length(speech, by).withColumnRenamed("length_ms", "heard_ms")
     both = shared_length(speech, voiced, by)
     x = agg.join(heard, by, "left").join(both, by, "left").na.fill(0, ["shared_ms"])
     x = x.withColumn("silent_s_per_min", F.when(F.col("heard_ms") > 0, (F.col("heard_ms") - F.col("shared_ms")) * 60.0 / F.col("heard_ms")))
     if anchors is not None:
         a = F.abs("error_ms")
-        x = x.join(anchors.groupBy(*by).agg(F.count("*").alias("anchors"), F.percentile(a, F.lit(0.5)).alias("anchor_err_p50"),
-                                            F.percentile(a, F.lit(0.95)).alias("anchor_err_p95")), by, "left").na.fill(0, ["anchors"])
+        x = (x.join(anchors.groupBy(*by).agg(F.count("*").alias("anchors")), by, "left")
+             .join(quantiles(anchors, by, {"error": (a, {"anchor_err_p50": 0.5, "anchor_err_p95": 0.95})}), by, "left").na.fill(0, ["anchors"]))
     return x.drop("heard_ms", "shared_ms")
 
 
@@ -172,11 +172,11 @@ def timing_report(trace: DataFrame, by: list[str] = M) -> DataFrame:
     skipped = trace.filter("event = 'skipped'").select(*by, "start_ms", "end_ms")
     spans = rows.select(*by, "start_ms", "end_ms").unionByName(skipped).groupBy(*by).agg(
         (F.max("end_ms") - F.min("start_ms")).alias("ms"))
-    a = rate_steps(rows, by).groupBy(*by).agg(
-        F.count("*").alias("lines"), F.percentile("lag_ms", F.lit(0.95)).alias("lag_p95"),
-        F.percentile("rate_pct", F.lit(0.9)).alias("rate_p90"), F.percentile("step", F.lit(0.9)).alias("rate_step_p90"),
-        F.sum("freeze_ms").alias("freeze_ms"),
-        *[F.count_if(F.col("said") == k).alias("said_" + k) for k in ("whole", "pieces", "joined", "anchored")])
+    steps = stage(rate_steps(rows, by))
+    places = quantiles(steps, by, {"lag": (F.col("lag_ms"), {"lag_p95": 0.95}), "rate": (F.col("rate_pct"), {"rate_p90": 0.9}), "step": (F.col("step"), {"rate_step_p90": 0.9})})
+    a = steps.groupBy(*by).agg(
+        F.count("*").alias("lines"), F.sum("freeze_ms").alias("freeze_ms"),
+        *[F.count_if(F.col("said") == k).alias("said_" + k) for k in ("whole", "pieces", "joined", "anchored")]).join(places, by, "left")
     x = spans.join(a, by, "left").join(skipped.groupBy(*by).agg(F.count("*").alias("skipped")), by, "left")
     return (x.na.fill(0, ["lines", "skipped", "said_whole", "said_pieces", "said_joined", "said_anchored"])
             .withColumn("freeze_s_per_10min", F.when(F.col("ms") > 0, F.col("freeze_ms") * 600.0 / F.col("ms"))).drop("ms", "freeze_ms"))
@@ -189,6 +189,8 @@ def plan_stats(plans: DataFrame, by: list[str] = M, late_ms: int = 500, cap_pct:
     x = scan(x, [*by, "speaker"], ["src_start_ms", "id"], bucket_of("src_start_ms", CHUNK), __pr=prev("rate_pct"))
     lag = F.col("start_ms") - F.col("src_start_ms")
     step = F.abs(F.col("rate_pct") - F.col("__pr"))
+    x = stage(x)
+    places = quantiles(x, by, {"lag": (lag, {"lag_p50": 0.5, "lag_p95": 0.95}), "rate": (F.col("rate_pct"), {"rate_p50": 0.5, "rate_p90": 0.9}), "step": (step, {"rate_step_p90": 0.9})})
     end = F.greatest("end_ms", "start_ms")
     union = F.greatest(end, F.col("src_end_ms")) - F.least("start_ms", "src_start_ms")
     iou = F.when(union > 0, F.greatest(F.least(end, F.col("src_end_ms")) - F.greatest("start_ms", "src_start_ms"), F.lit(0)) / union).otherwise(1.0)
@@ -198,18 +200,15 @@ def plan_stats(plans: DataFrame, by: list[str] = M, late_ms: int = 500, cap_pct:
 
     return x.groupBy(*by).agg(
         F.count("*").alias("lines"), (F.max("src_end_ms") - F.min("src_start_ms")).alias("span_ms"),
-        F.percentile(lag, F.lit(0.5)).alias("lag_p50"), F.percentile(lag, F.lit(0.95)).alias("lag_p95"),
         F.max(lag).alias("lag_max"), F.min(lag).alias("lag_min"),
         F.coalesce(F.max(F.when(F.coalesce(F.col("__po"), F.lit(0)) <= 0, lag)), F.lit(0)).alias("lag_max_unflagged"),
         share(lag > late_ms).alias("late_share"), F.avg("rate_pct").alias("rate_mean"),
-        F.percentile("rate_pct", F.lit(0.5)).alias("rate_p50"), F.percentile("rate_pct", F.lit(0.9)).alias("rate_p90"),
         F.max("rate_pct").alias("rate_max"), share(F.col("rate_pct") >= cap_pct).alias("at_cap_share"),
-        F.coalesce(F.percentile(step, F.lit(0.9)), F.lit(0.0)).alias("rate_step_p90"),
         F.coalesce(F.avg(F.when(step.isNotNull(), F.when(step <= smooth_pct, 1.0).otherwise(0.0))), F.lit(1.0)).alias("rate_step_ok_share"),
         F.count_if(F.col("freeze_ms") > 0).alias("freezes"), F.sum("freeze_ms").alias("freeze_ms"),
         F.sum("own_overdraft_ms").alias("overdraft_ms"), F.count_if(F.col("own_overdraft_ms") > 0).alias("overdraft_lines"),
         F.sum(F.col("overdraft_ms") - F.col("own_overdraft_ms")).alias("carried_ms"), F.avg(iou).alias("iou_mean"),
-        *[F.count_if(F.col("said") == k).alias("said_" + k) for k in ("pieces", "joined", "anchored")])
+        *[F.count_if(F.col("said") == k).alias("said_" + k) for k in ("pieces", "joined", "anchored")]).join(places, by, "left").na.fill(0.0, ["rate_step_p90"])
 
 
 def guards(stats: DataFrame, baseline: DataFrame | None = None, by: list[str] = M) -> DataFrame:
@@ -243,8 +242,8 @@ def dub_metrics(lines: DataFrame, by: list[str] = M, band: tuple[float, float] =
     return x.groupBy(*by).agg(F.count("*").alias("lines"), *shares("cls", "share_"), *shares("cls_first", "first_"),
                               F.count_if(F.col("verdict_by") == "validators").alias("retranslations_kept"),
                               (F.sum("played_ms") / F.sum("speech_ms")).alias("speech_fill"),
-                              F.percentile(fill, F.lit(0.5)).alias("speech_fill_median"),
-                              F.avg(F.when(rate.between(*band), 1.0).otherwise(0.0)).alias("rate_in_band_share"))
+                              F.avg(F.when(rate.between(*band), 1.0).otherwise(0.0)).alias("rate_in_band_share")).join(
+        quantiles(x, by, {"fill": (fill, {"speech_fill_median": 0.5})}), by, "left")
 
 
 def online_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[str] = ["at"]) -> DataFrame:
@@ -311,10 +310,12 @@ def scale_sweep(lines: DataFrame, scales: list[float], dur: str = "dur_ms", by:
     x = x.withColumns({"__d": F.col(dur) * F.col("scale"), "budget_ms": budget_ms()})
     rate = F.when(F.col("__d") <= F.col("budget_ms"), 1.0).otherwise(F.least(F.col("__d") / F.col("budget_ms"), F.lit(1.25)))
     over = F.greatest(F.col("__d") / rate - F.col("budget_ms"), F.lit(0.0))
+    x = stage(x.select(*by, "scale", "__d", "budget_ms"))
+    places = quantiles(x, [*by, "scale"], {"rate": (rate, {"rate_p50": 0.5, "rate_p90": 0.9})})
     return x.groupBy(*by, "scale").agg(
         F.count("*").alias("lines"), F.avg(F.when(F.col("__d") <= F.col("budget_ms"), 1.0).otherwise(0.0)).alias("fits_share"),
         F.avg(F.when(F.col("__d") > F.col("budget_ms") * 1.05, 1.0).otherwise(0.0)).alias("condense_share"),
-        F.sum(F.round(over)).alias("overflow_ms"), F.percentile(rate, F.lit(0.5)).alias("rate_p50"), F.percentile(rate, F.lit(0.9)).alias("rate_p90"))
+        F.sum(F.round(over)).alias("overflow_ms")).join(places, [*by, "scale"], "left")
 
 
 def anchor_errors(parts: DataFrame, voiced: DataFrame, key: list[str] = ["media_id", "id"]) -> DataFrame:

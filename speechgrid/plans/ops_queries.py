@@ -239,13 +239,12 @@ def _(t):
     return ops.manifest(p.filter("id % 13 <> 0"), p.filter("id % 13 = 0"), sp)
 
 
-@query("compare_arms", """WITH r AS (SELECT user_id AS pair, event_type AS arm, MAX(value) AS value FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL),
+@query("compare_arms", """WITH r AS (SELECT user_id AS pair, event_type AS arm, MAX(value) AS value FROM events GROUP BY ALL),
 f AS (SELECT pair FROM r WHERE value IS NOT NULL GROUP BY pair HAVING COUNT(DISTINCT arm) = (SELECT COUNT(DISTINCT arm) FROM r))
 SELECT r.arm, COUNT(*) AS pairs, quantile_cont(r.value, 0.5) AS median, quantile_cont((r.value - b.value) / b.value, 0.5) AS median_change
 FROM r JOIN f USING (pair) JOIN (SELECT * FROM r WHERE arm = 'view') b USING (pair) GROUP BY r.arm""")
 def _(t):
-    r = (t.read("events").filter("event_type in ('view', 'click', 'error')").groupBy(F.col("user_id").alias("pair"), F.col("event_type").alias("arm"))
-         .agg(F.max("value").alias("value")))
+    r = t.read("events").groupBy(F.col("user_id").alias("pair"), F.col("event_type").alias("arm")).agg(F.max("value").alias("value"))
     return ops.compare_arms(r, "view")
 
 
