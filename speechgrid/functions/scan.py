@@ -188,3 +188,39 @@ def walk(df: DataFrame, by: list[str], seq: str, jump: str, longest: int, size:
     got = blocks.join(entries, [*by, "__k"]).withColumn("__h", F.explode(F.expr(heads)))
     return got.select(*by, (F.col("__k") * size + F.col("__h")).cast("bigint").alias(seq),
                       F.expr("__j[__h]").alias(jump))
+
+
+def leap(df: DataFrame, by: list[str], seq: str, jump: str, size: int = 256) -> DataFrame:
+    """The rows a pointer walk lands on, as ``walk``, for jumps of any length (at least 1; a shorter one raises): (by, seq, jump).
+    ``seq`` numbers the rows of each ``by`` from 0 without gaps.
+
+    Blocks of ``size`` rows are summarised by where a walk entering at each row leaves the block. Of these exits only those another
+    block leads to, and row 0, can be visited: they are a forest, ranked by pointer doubling. A round joins the table of exits with
+    itself, so an exit leads twice as many blocks on, and adds where the places reached so far lead; the rounds grow with the
+    logarithm of the blocks on the longest walk, and each is a stored table keyed by place. A walk enters a block once, so the
+    places reached are the entries, and each block follows its own."""
+    at = f"{size}L * __k"
+    blocks = stage(df.groupBy(*by, F.expr(f"`{seq}` div {size}").alias("__k")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("p"), F.col(jump).cast("bigint").alias("j")))).alias("a"))
+        .withColumn("__j", F.expr("transform(a, x -> if(x.j >= 1, x.j, raise_error('a jump below 1')))")).drop("a"))
+    # From the last row back: a jump within the block leads where its target leads.
+    leaves = ("aggregate(reverse(__j), cast(array() as array<bigint>), (m, j) -> concat(array("
+              f"if(j > size(m), {at} + size(__j) - 1 - size(m) + j, element_at(m, cast(j as int)))), m))")
+    exits = blocks.select(*by, "__k", F.posexplode(F.expr(leaves)).alias("__i", "__to")).select(*by, F.expr(f"{at} + __i").alias("__p"), "__to")
+    reached = blocks.filter("__k = 0").select(*by, F.lit(0).cast("bigint").alias("__p"))
+    exits = stage(exits)
+    entries = exits.select(*by, F.col("__to").alias("__p")).distinct().unionByName(reached)
+    ahead = stage(exits.join(entries.distinct(), [*by, "__p"], "left_semi"))
+    places = ahead.select(*by, "__p")  # targets that are rows
+    while True:
+        # ``reached`` holds the first 2^k places of every walk, ``ahead`` leads 2^k places on
+        led = reached.join(ahead, [*by, "__p"]).select(*by, F.col("__to").alias("__p")).join(places, [*by, "__p"], "left_semi")
+        reached = stage(reached.unionByName(led))
+        onward = ahead.select(*by, F.col("__p").alias("__to"), F.col("__to").alias("__next"))
+        ahead = stage(ahead.join(onward, [*by, "__to"]).select(*by, "__p", F.col("__next").alias("__to")))
+        if ahead.isEmpty():
+            break
+    heads = (f"aggregate(sequence(0, size(__j) - 1), struct(cast(__p - {at} as bigint) as n, cast(array() as array<int>) as h), (t, i) -> "
+             "if(i = t.n, struct(i + __j[i] as n, concat(t.h, array(i)) as h), t)).h")
+    got = blocks.join(reached.select(*by, F.expr(f"__p div {size}").alias("__k"), "__p"), [*by, "__k"]).withColumn("__h", F.explode(F.expr(heads)))
+    return got.select(*by, F.expr(f"{at} + __h").alias(seq), F.expr("__j[__h]").alias(jump))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as wr
-from ..functions.scan import following, last_seen, next_seen, prev, row_number, scan, walk
+from ..functions.scan import following, last_seen, leap, next_seen, prev, row_number, scan
 from ..functions.spans import bucket_of, overlap_join
 from ..functions.words import LEXICON, Lexicon
 from ..session import stage
@@ -377,7 +377,7 @@ def join_seams(units: DataFrame, by: list[str] = M, max_ms: int = 20_000, gap_ms
     anchors are shifted and the seam added; ids are given in onset order.
 
     How far a joined unit starting at each unit would reach is known from the next place that must part and from the length
-    limit; the walk picks the starts, and raises if more than 4,096 units are to be joined into one."""
+    limit; the walk picks the starts, by pointer doubling, however many units are joined into one."""
     ended = F.rlike(F.regexp_replace("text", "[\"'”’)]+$", ""), F.lit("[.?!…।]$"))
     u = scan(units, by, ["start_ms", "end_ms", "text"], bucket_of("start_ms", CHUNK), __n=row_number(), __nx=following(F.struct("speaker", "start_ms")))
     u = u.withColumns({"seq": F.col("__n") - 1, "__part": F.col("__nx").isNull() | (F.col("__nx.speaker") != F.col("speaker")) | ended
@@ -387,8 +387,8 @@ def join_seams(units: DataFrame, by: list[str] = M, max_ms: int = 20_000, gap_ms
     ends = u.select(*by, F.col("end_ms").alias("__v"), F.lit(0).alias("__k"), "seq", F.col("seq").alias("__e"))
     asks = u.select(*by, (F.col("start_ms") + max_ms).alias("__v"), F.lit(1).alias("__k"), "seq", F.lit(None).cast("bigint").alias("__e"))
     reach = scan(ends.unionByName(asks), by, ["__v", "__k", "seq"], bucket_of("__v", CHUNK), __far=last_seen("__e")).filter("__k = 1").select(*by, "seq", "__far")
-    j = stops.join(reach, [*by, "seq"]).select(*by, "seq", F.greatest(F.lit(1), F.least(F.col("__stop"), F.coalesce("__far", F.col("seq"))) - F.col("seq") + 1).cast("int").alias("n"))
-    heads = walk(j, by, "seq", "n", longest=4096, size=4096)
+    j = stops.join(reach, [*by, "seq"]).select(*by, "seq", F.greatest(F.lit(1), F.least(F.col("__stop"), F.coalesce("__far", F.col("seq"))) - F.col("seq") + 1).alias("n"))
+    heads = leap(j, by, "seq", "n")
     m = heads.select(*by, F.col("seq").alias("id0"), F.explode(F.expr("sequence(seq, seq + n - 1)")).alias("seq")).join(u, [*by, "seq"])
     part = F.struct("seq", "speaker", "start_ms", "end_ms", "text", "words", "breaks", "anchors", "cut_off")
     g = m.groupBy(*by, "id0").agg(F.array_sort(F.collect_list(part)).alias("ps"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import following, last_seen, next_seen, prev, running_sum, scan, with_neighbours
+from ..functions.scan import following, last_seen, leap, next_seen, prev, row_number, running_sum, scan, with_neighbours
 from ..functions.spans import bucket_of, overlap_join, point_join
 from ..functions.words import LEXICON, Lexicon, core, sentence_end
 from ..session import stage
@@ -126,7 +126,8 @@ def low_confidence_runs(words: DataFrame, by: list[str] = ["media_id"], below: f
 def repeated_phrases(words: DataFrame, by: list[str] = ["media_id"], max_n: int = 4, min_words: int = 6) -> DataFrame:
     """Phrases of up to ``max_n`` words said again straight after themselves, the repeats covering at least ``min_words``
     words: (by, first_idx, n, start_ms, end_ms). ``idx`` numbers the words of each ``by`` without gaps. At each place the
-    longest cover counts, and the search goes on behind it."""
+    longest cover counts, and the search goes on behind it: a walk over the places inside loops, each leading to the first one behind
+    its cover, ranked by pointer doubling (``leap``), so a loop may be of any length."""
     x = words.select(*by, "idx", "start_ms", "end_ms", core("word").alias("__w"))
     x = with_neighbours(x, by, "idx", **{f"__w{n}": ("__w", n) for n in range(1, max_n + 1)})
     stops = {f"__x{n}": F.when(~F.coalesce((F.col("__w") != "") & (F.col("__w") == F.col(f"__w{n}")), F.lit(False)),
@@ -139,17 +140,13 @@ def repeated_phrases(words: DataFrame, by: list[str] = ["media_id"], max_n: int
         best = F.greatest(best, F.when((cover >= max(min_words, 2 * n)), cover).otherwise(F.lit(0)))
     # The text's last word never matches anything ahead, so every place has a stop.
     c = stage(x.withColumn("__best", best).select(*by, "idx", "__best").filter("__best > 0"))  # places inside loops: few
-    island = interval_union(c.select(*by, F.col("idx").alias("start_ms"), (F.col("idx") + F.col("__best")).alias("end_ms")),
-                            by, touch=False, bucket_ms=4096)
-    j = point_join(c, island, by, "idx", width=4096).filter("idx < b_end_ms")
-    g = j.groupBy(*by, "b_start_ms").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("__best").alias("n")))).alias("c"))
-
-    def step(acc: Column, w: Column) -> Column:
-        p = F.element_at(acc, -1)
-        return F.when(w["idx"] >= p["idx"] + p["n"], F.concat(acc, F.array(w))).otherwise(acc)
-
-    picks = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.slice("c", 1, 1), step)
-    hit = g.select(*by, F.inline(picks)).withColumnRenamed("idx", "first_idx")
+    c = stage(scan(c, by, ["idx"], F.expr("idx div 4096"), __r=row_number()).withColumn("__r", F.col("__r") - 1))
+    # From each place to the first place at or behind the end of its cover, if there is one.
+    asks = c.select(*by, (F.col("idx") + F.col("__best")).alias("__at"), F.lit(0).alias("__k"), "__r", F.lit(None).cast("bigint").alias("__to"))
+    ahead = scan(asks.unionByName(c.select(*by, F.col("idx").alias("__at"), F.lit(1).alias("__k"), "__r", F.col("__r").alias("__to"))), by, ["__at", "__k", "__r"],
+                 F.expr("__at div 4096"), __next=next_seen("__to")).filter("__k = 0")
+    picks = leap(ahead.select(*by, "__r", F.coalesce(F.col("__next") - F.col("__r"), F.lit(1 << 40)).alias("__n")), by, "__r", "__n")
+    hit = c.join(picks.select(*by, "__r"), [*by, "__r"]).select(*by, F.col("idx").alias("first_idx"), F.col("__best").alias("n"))
     edge = words.select(*by, "idx", "start_ms", "end_ms")
     a = edge.select(*by, F.col("idx").alias("first_idx"), "start_ms")
     z = edge.select(*by, F.col("idx").alias("__last"), "end_ms")

@@ -78,6 +78,29 @@ def _(t):
     return sg.join_seams(u).select("media_id", "id", "speaker", "start_ms", "end_ms", "text")
 
 
+SEAMS = """WITH RECURSIVE t AS (SELECT media_id, turn * 10000 + pos // 8 AS id, speaker, MIN(start_ms) AS start_ms, MAX(end_ms) AS end_ms, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM fx_words GROUP BY ALL),
+u AS (SELECT *, ROW_NUMBER() OVER w - 1 AS seq, LEAD(speaker) OVER w AS ns, LEAD(start_ms) OVER w AS na FROM t WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, end_ms, text)),
+p AS (SELECT *, ns IS NULL OR ns <> speaker OR na - end_ms > 1000 OR regexp_matches(regexp_replace(text, '["''”’)]+$', ''), '[.?!…।]$') AS part FROM u),
+e AS (SELECT media_id, end_ms, MAX(seq) AS seq FROM u GROUP BY ALL),
+j AS (SELECT p.*, MIN(CASE WHEN part THEN p.seq END) OVER (PARTITION BY p.media_id ORDER BY p.seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop, e.seq AS far
+  FROM p ASOF LEFT JOIN e ON e.media_id = p.media_id AND e.end_ms <= p.start_ms + 20000),
+n AS (SELECT *, GREATEST(1, LEAST(stop, COALESCE(far, seq)) - seq + 1) AS n FROM j),
+pick AS (SELECT media_id, seq, seq + n AS nxt FROM n WHERE seq = 0 UNION ALL SELECT n.media_id, n.seq, n.seq + n.n FROM pick JOIN n ON n.media_id = pick.media_id AND n.seq = pick.nxt)
+SELECT pick.media_id, ROW_NUMBER() OVER (PARTITION BY pick.media_id ORDER BY pick.seq) - 1 AS id, MIN_BY(u.speaker, u.seq) AS speaker, MIN_BY(u.start_ms, u.seq) AS start_ms,
+  MAX_BY(u.end_ms, u.seq) AS end_ms, string_agg(u.text, ' ' ORDER BY u.seq) AS text
+FROM pick JOIN u ON u.media_id = pick.media_id AND u.seq >= pick.seq AND u.seq < pick.nxt GROUP BY pick.media_id, pick.seq"""
+
+
+@query("join_seams_of_lines", SEAMS)
+def _(t):
+    f = sg.word_flags(t.words).withColumn("id", F.expr("turn * 10000 + pos div 8"))
+    u = f.groupBy("media_id", "id", "speaker").agg(
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_sort(F.collect_list(F.struct("pos", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "ends", "clause", "word"))).alias("words"))
+    u = u.withColumn("text", F.expr("array_join(transform(words, w -> w.word), ' ')")).withColumns(sg.unit_pauses()).withColumn("cut_off", F.lit(False))
+    return sg.join_seams(u).select("media_id", "id", "speaker", "start_ms", "end_ms", "text")
+
+
 @query("unit_pauses", """SELECT media_id, id, array_to_string(list(k ORDER BY k) FILTER (gap >= 1000), ',') AS breaks, array_to_string(list(k ORDER BY k) FILTER (gap >= 300 AND m), ',') AS anchors FROM (
   SELECT media_id, turn * 10000 + pos // 8 AS id, pos % 8 AS k, start_ms - LAG(end_ms) OVER (PARTITION BY media_id, turn, pos // 8 ORDER BY pos) AS gap,
    LAG(regexp_matches(regexp_replace(word, '["'')\\]}»”’]+$', ''), '[.?!…।,;:—-]$')
