@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -34,51 +34,50 @@ _LETTER = "a-zß-öø-ſ"
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
 
 
+class Kept(dict):
+    """A cache of two bounded generations: what is met again moves to the younger one, and a full younger one takes the elder's
+    place. ``make`` gives what neither holds."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self[key] = self.old.get(key) or self.make(key)
+        return value
+
+
 class Tokens:
-    """Ids of the word-end vocabulary, as little-endian unsigned 32-bit bytes. Each distinct word is encoded once while it stays
-    in a bounded cache; texts that the quick way cannot part exactly are encoded whole by the library."""
+    """Ids of the word-end vocabulary, as little-endian unsigned 32-bit bytes. No id spans white space, so each distinct string
+    between it is encoded once while it stays in a bounded cache, and so is each word in it, by the library's model; texts that the
+    quick way cannot part exactly are encoded whole by the library."""
 
     def __init__(self, path: str, cached: int = 300_000):
-        import json
-
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        vocab = json.loads(self.lib.to_str())["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 3, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.cached = cached
+        self.model = self.lib.model
+        # the vocabulary writes bytes as characters: the printable ones as themselves, the others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.words = Kept(self._word, cached)
+        self.parts = Kept(lambda part: b"".join([self.words[w] for w in WORD.findall(part)]), cached)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 256):
-            some = words[k:k + 256]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                for w in some:
-                    self.cache[w] = self._whole(w)
-                continue
-            start = 0
-            for w, stop in zip(some, stops.tolist(), strict=True):
-                self.cache[w] = ids[start:stop].tobytes()
-                start = stop
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or ODD.search(text):
             return self._whole(text)
-        words = WORD.findall(text.lower())
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > self.cached:
-                cache.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in cache])
-            return b"".join([cache[w] for w in words])
+        return b"".join(map(self.parts.__getitem__, text.lower().split()))
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +161,8 @@ def pack(docs: DataFrame, size: int = 4096, end_id: int = 2, tokenizer: str | No
     parts = stage(pieces.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = pieces.join(parts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), ["part", "length"])
+    # a row a part and length: it grows with the parts, so it is never sent to all tasks
+    ranked = pieces.join(parts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).hint("shuffle_hash"), ["part", "length"])
     plan = plan_packs(counts, size)
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place")).alias("rank")).mapInArrow(
         _place(plan), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
