@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stage_folder
+from ..streaming import late
 from ..streaming import trace_streams as st
 from .registry import query
 from .timing_queries import PACE_STEP, TAKES, takes, unit_events
@@ -19,12 +21,16 @@ def folder(t, kind):
     return f"{stage_folder(t.spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def segments(t, df):
-    """``df`` as JSON-lines segments, the trace's columns filled up with NULLs."""
+def filled(df):
+    """``df`` with the trace's columns, those it lacks as NULLs."""
     types = dict(c.split() for c in st.TRACE.split(", "))
-    x = df.select(*[F.col(c).cast(types[c]).alias(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in COLS])
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in COLS])
+
+
+def segments(t, df):
+    """``df`` as JSON-lines segments."""
     path = folder(t, "trace")
-    x.write.json(path)
+    filled(df).write.json(path)
     return path
 
 
@@ -46,6 +52,32 @@ def _(t):
     return st.run_available(s, folder(t, "out"), "update", ["media_id", "start_ms"])
 
 
+LATE_MS = 600_000
+
+
+def turns_with_late(t, first, second):
+    """Two turns of the usage stream; what comes late in the second is split off and its partitions recomputed."""
+    spark, raw, path = t.spark, folder(t, "trace"), folder(t, "late")
+    schema = T.StructType.fromDDL(st.TRACE)
+    table = None
+    for part in (first, second):
+        filled(part).write.mode("append").json(raw)
+        late.split_late(spark.readStream.schema(schema).json(raw), path, LATE_MS)
+        s = st.usage_windows(late.on_time(spark, path, schema, "10 minutes"))
+        table = st.run_available(s, f"{path}/stream", "update", ["media_id", "start_ms"])
+    late.replace_partitions(table, f"{path}/table")
+    events = spark.read.schema(schema).json(raw)
+    late.recover(events, late.late_rows(spark, path, schema), f"{path}/table", st.usage_windows)
+    return late.windows_table(spark, f"{path}/table", table.schema), table, late.late_rows(spark, path, schema)
+
+
+@query("stream_usage_with_late_rows", """SELECT media_id, t_ms // 60000 * 60000 AS start_ms, COUNT(*) AS calls, COUNT(*) FILTER (k % 7 = 0) AS errors, CAST(SUM(k * 10) AS BIGINT) AS tokens, CAST(SUM(wall_ms) AS BIGINT) AS wall_ms
+FROM fx_trace WHERE event = 'claude' GROUP BY media_id, t_ms // 60000""")
+def _(t):
+    c = calls(t)
+    return turns_with_late(t, c.filter("event_id % 5 <> 0"), c.filter("event_id % 5 = 0"))[0]
+
+
 @query("stream_recent_usage", """SELECT media_id, (t_ms // 300000 - o) * 300000 AS start_ms, COUNT(*) AS calls, COUNT(*) FILTER (k % 7 = 0) AS errors, CAST(SUM(k * 10) AS BIGINT) AS tokens, CAST(SUM(wall_ms) AS BIGINT) AS wall_ms
 FROM fx_trace, (SELECT unnest(range(3)) AS o) WHERE event = 'claude' GROUP BY ALL""")
 def _(t):

@@ -1,7 +1,7 @@
 """Trace events as a stream: de-duplication, windows, rolling load, sessions, current lines and online pace.
 
-Events carry their time ``t_ms``; the watermark says how late one may be. What comes later is dropped here and recovered by the
-batch reports, which recompute from the same files.
+Events carry their time ``t_ms``; the watermark says how late one may be. What comes later is dropped here; ``late`` splits it off
+before and recomputes the windows it belongs to.
 """
 
 from __future__ import annotations
