@@ -248,16 +248,26 @@ def check_delivery(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"delivery_flags": flags, "delivery": out})
 
 
-def glossary_flags(lines: DataFrame, glossary: DataFrame, key: list[str] = ["media_id", "id"], by: list[str] = ["media_id"]) -> DataFrame:
-    """Terms a source line uses as whole words whose fixed spelling its translation lacks: (key, term). A one-word term meets
-    only lines holding that word: an equi-join on its first word; no term is tried on every line."""
+def glossary_flags(lines: DataFrame, glossary: DataFrame, key: list[str] = ["media_id", "id"], by: list[str] = ["media_id"], gram: int = 3) -> DataFrame:
+    """Terms a source line uses as whole words whose fixed spelling its translation lacks: (key, term). A term stands whole if no
+    ASCII letter or digit touches it; case does not count. Empty terms stand nowhere.
+
+    Terms meet only lines that hold what they begin with, so no term is tried on every line. A term with an ASCII word is joined by
+    its first one, which the line must hold as a word. Any other term, of another script or of marks alone, may begin inside a
+    word: it is joined by its first ``gram`` characters (or all, if fewer), and lines give their distinct runs of so many
+    characters, those of recordings with such terms only."""
     first = F.lower(F.regexp_extract("term", "^[^A-Za-z0-9]*([A-Za-z0-9]+)", 1))
+    g = glossary.filter("term <> ''").select(*by, "term", F.col("spoken").alias("__sp"), first.alias("__w"))
+    odd = g.filter("__w = ''").withColumns({"__w": F.lower(F.substring("term", 1, gram)), "__n": F.least(F.length("term"), F.lit(gram))})
+    said = lines.select(*key, *[c for c in by if c not in key], "source", "spoken")
     toks = F.array_distinct(F.regexp_extract_all(F.lower("source"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    g = glossary.select(*by, "term", F.col("spoken").alias("__sp"), first.alias("__w"))
-    x = lines.select(*key, "source", "spoken", F.explode(toks).alias("__w")).join(g.filter("__w <> ''"), [*by, "__w"])
-    odd = lines.select(*key, "source", "spoken").join(g.filter("__w = ''"), by).withColumn("__w", F.lit(""))
-    x = x.select(*key, "source", "spoken", "term", "__sp").unionByName(odd.select(*key, "source", "spoken", "term", "__sp"))
-    pat = F.concat(F.lit("(?i)(?<![A-Za-z0-9])\\Q"), F.col("term"), F.lit("\\E(?![A-Za-z0-9])"))
+    runs = F.expr("array_distinct(transform(sequence(1, greatest(length(source) - __n + 1, 1)), k -> lower(substring(source, k, __n))))")
+    widths = odd.groupBy(*by).agg(F.collect_set("__n").alias("__ns"))  # at most ``gram`` numbers
+    grams = said.join(widths, by).withColumn("__n", F.explode("__ns")).withColumn("__w", F.explode(runs)).drop("__ns")
+    x = said.withColumn("__w", F.explode(toks)).join(g.filter("__w <> ''"), [*by, "__w"])
+    y = grams.join(odd, [*by, "__w", "__n"])
+    x = x.select(*key, "source", "spoken", "term", "__sp").unionByName(y.select(*key, "source", "spoken", "term", "__sp"))
+    pat = F.concat(F.lit("(?iu)(?<![A-Za-z0-9])\\Q"), F.replace("term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
     return x.filter(F.rlike("source", pat) & ~F.contains("spoken", F.col("__sp"))).select(*key, "term").distinct()
 
 

@@ -125,13 +125,16 @@ def _(t):
                                        F.array_join("delivery_flags", ",").alias("flags"))
 
 
-TERMS = "SELECT DISTINCT media_id, word AS term FROM fx_words WHERE regexp_matches(word, '^[A-Za-z]+$') AND length(word) > 6"
+# Every word as it stands, and what is no ASCII word: runs of accented letters from inside words, and marks.
+TERMS = """SELECT DISTINCT media_id, unnest([word, regexp_extract(word, '[À-ÿ]+'), regexp_extract(word, '[.,!?]+$'), regexp_extract(word, '.[À-ÿ][.,]')]) AS term FROM fx_words"""
 
 
-@query("glossary_flags", """SELECT DISTINCT u.media_id, u.id, g.term FROM fx_unit_text u JOIN fx_terms g ON g.media_id = u.media_id AND regexp_matches(u.text, '(?i)(^|[^A-Za-z0-9])' || g.term || '($|[^A-Za-z0-9])')
+@query("glossary_flags", """SELECT DISTINCT u.media_id, u.id, g.term FROM fx_unit_text u JOIN fx_terms g ON g.media_id = u.media_id AND g.term <> '' AND contains(lower(u.text), lower(g.term))
+  AND regexp_matches(u.text, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(g.term) || '($|[^A-Za-z0-9])')
 WHERE NOT (u.id % 2 = 0)""", fx_terms=TERMS)
 def _(t):
-    g = t.words.filter("word rlike '^[A-Za-z]+$' and length(word) > 6").select("media_id", F.col("word").alias("term")).distinct().withColumn("spoken", F.lit("పద"))
+    forms = F.array("word", F.regexp_extract("word", "[À-ÿ]+", 0), F.regexp_extract("word", "[.,!?]+$", 0), F.regexp_extract("word", ".[À-ÿ][.,]", 0))
+    g = t.words.select("media_id", F.explode(forms).alias("term")).distinct().withColumn("spoken", F.lit("పద"))
     ln = t.unit_text.select("media_id", "id", F.col("text").alias("source"), F.expr("if(id % 2 = 0, 'పద', 'క')").alias("spoken"))
     return rp.glossary_flags(ln, g)
 
