@@ -302,6 +302,26 @@ def candidate_windows(df: DataFrame, size_ms: int, min_ms: int = 0, pauses: str
                     F.col("__w.s").alias("start_ms"), F.col("__w.e").alias("end_ms"))
 
 
+def windows_at_pauses(spans: DataFrame, pauses: DataFrame, size_ms: int, min_ms: int = 0, key: list[str] = ["media_id", "turn"], at: str = "at_ms") -> DataFrame:
+    """``candidate_windows`` with the pauses as rows (key, at): (key, start_ms, end_ms). ``key`` names a span, in a recording's time.
+
+    The last edge within ``size_ms`` of each edge comes from one ordered scan over the edges and the edges moved on by the size, so
+    the work is linear in the pauses, and a span may hold any number of them: they are cut by time, never gathered."""
+    whole = spans.select(*key, F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"))
+    long = whole.filter(F.col("end_ms") - F.col("start_ms") > size_ms)
+    inside = point_join(pauses.select(*key, F.col(at).cast("bigint").alias("__x")), long, key, "__x").filter((F.col("__x") > F.col("b_start_ms")) & (F.col("__x") < F.col("b_end_ms")))
+    edges = stage(inside.select(*key, "__x").unionByName(long.select(*key, F.explode(F.array("start_ms", "end_ms")).alias("__x"))).distinct())
+    here = edges.select(*key, F.col("__x").alias("__t"), F.lit(0).alias("__k"), F.col("__x").alias("__e"), F.lit(None).cast("bigint").alias("__s"))
+    asks = edges.select(*key, (F.col("__x") + size_ms).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast("bigint").alias("__e"), F.col("__x").alias("__s"))
+    far = scan(here.unionByName(asks), key, ["__t", "__k"], bucket_of("__t", UNION_BUCKET_MS), __far=last_seen("__e")).filter("__k = 1")
+    snapped = stage(far.filter((F.col("__far") > F.col("__s")) & (F.col("__far") - F.col("__s") >= min_ms)).select(*key, F.col("__s").alias("start_ms"), F.col("__far").alias("end_ms")))
+    n = F.expr(f"greatest(2, (end_ms - start_ms + {size_ms} - 1) div {size_ms})")
+    bare = long.join(snapped.select(*key).distinct(), key, "left_anti").withColumn("__n", n).withColumn("__i", F.explode(F.expr("sequence(bigint(0), __n - 1)")))
+    first = F.expr(f"start_ms + __i * (end_ms - start_ms - {size_ms}) div (__n - 1)")
+    spread = bare.select(*key, first.alias("start_ms"), (first + size_ms).alias("end_ms"))
+    return whole.filter(F.col("end_ms") - F.col("start_ms") <= size_ms).unionByName(snapped).unionByName(spread)
+
+
 def sweep_merge(cues: DataFrame, by: list[str] = ["media_id"], bucket_ms: int = UNION_BUCKET_MS) -> DataFrame:
     """Labelled cues as one track: cut at all edges; a piece's text is one block per speaker, in the order they began
     (each behind a dash when two or more talk); equal touching pieces are joined."""

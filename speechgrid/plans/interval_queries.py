@@ -208,9 +208,8 @@ UNION ALL SELECT media_id, turn, s, e FROM s
 UNION ALL SELECT media_id, turn, start_ms + i * (end_ms - start_ms - 10000) // (n - 1),
   start_ms + i * (end_ms - start_ms - 10000) // (n - 1) + 10000 FROM (SELECT *, unnest(range(n)) AS i FROM n)""")
 def _(t):
-    p = t.words.filter("pos % 17 = 16").groupBy("media_id", "turn").agg(F.collect_list("end_ms").alias("p"))
-    x = t.turns.join(p, ["media_id", "turn"], "left").withColumn("p", F.coalesce("p", F.expr("cast(array() as array<bigint>)")))
-    return iv.candidate_windows(x, 10_000, 6_000, "p").select("media_id", "turn", "start_ms", "end_ms")
+    p = t.words.filter("pos % 17 = 16").select("media_id", "turn", F.col("end_ms").alias("at_ms"))
+    return iv.windows_at_pauses(t.turns, p, 10_000, 6_000)
 
 
 @query("sweep_merge", islands("fx_pieces", by="media_id, text"), fx_pieces=PIECES.format(src="fx_turns", pick="""
