@@ -86,17 +86,19 @@ def target_cues(lines: DataFrame, width, by: list[str] = ["media_id"], offset_ms
     return x.select(*by, "id", "speaker", "p.piece", edge("lo").alias("start_ms"), edge("hi").alias("end_ms"), "p.text")
 
 
-def shape_cues(cues: DataFrame, by: list[str] = ["media_id"], stop_ms: int | None = None, floor_ms: int | None = None) -> DataFrame:
-    """Cues that last at least 0.7 s where the next later start allows; none before ``floor_ms`` or past ``stop_ms``."""
+def shape_cues(cues: DataFrame, by: list[str] = ["media_id"], stop_ms: int | str | None = None, floor_ms: int | str | None = None) -> DataFrame:
+    """Cues that last at least 0.7 s where the next later start allows; none before ``floor_ms`` or past ``stop_ms``. Both are times, or
+    columns of the cues that are NULL where a recording has no such bound."""
+    stop, floor = (F.col(v) if isinstance(v, str) else None if v is None else F.lit(v) for v in (stop_ms, floor_ms))
     x = cues
-    if floor_ms is not None:
-        x = x.filter(F.col("end_ms") > floor_ms).withColumn("start_ms", F.greatest(F.col("start_ms"), F.lit(floor_ms)))
+    if floor is not None:
+        x = x.filter(floor.isNull() | (F.col("end_ms") > floor)).withColumn("start_ms", F.greatest(F.col("start_ms"), floor))  # NULL counts as none
     starts = scan(x.select(*by, "start_ms").distinct(), by, ["start_ms"], bucket_of("start_ms", CHUNK), __next=following("start_ms"))
     x = x.join(starts, [*by, "start_ms"])
     least = F.col("start_ms") + MIN_MS
     end = F.when(F.col("end_ms") - F.col("start_ms") < MIN_MS, F.greatest(F.col("end_ms"), F.coalesce(F.least(least, F.col("__next")), least))).otherwise(F.col("end_ms"))
-    if stop_ms is not None:
-        end = F.least(end, F.lit(stop_ms))
+    if stop is not None:
+        end = F.least(end, stop)
     return x.withColumn("end_ms", end).filter("end_ms > start_ms").select(*cues.columns)
 
 

@@ -133,9 +133,17 @@ def some_cues(t):
     return t.plans.selectExpr("media_id", "id", "speaker", "start_ms", "if(id % 3 = 0, start_ms + 300, end_ms) AS end_ms", "concat('l', cast(id as string)) AS text")
 
 
-@query("shape_cues", "SELECT * FROM fx_shaped", fx_cue=CUES, fx_shaped=SHAPED)
+# Every fourth recording is a preview of a minute, every third begins at its first second; all others are shaped whole.
+BOUNDS = "CASE WHEN media_id % 4 = 0 THEN 60000 END AS stop, CASE WHEN media_id % 3 = 0 THEN 1000 END AS floor"
+
+
+@query("shape_cues", f"""SELECT media_id, id, speaker, start_ms, end_ms, text FROM (SELECT media_id, id, speaker, text, s AS start_ms,
+   LEAST(CASE WHEN end_ms - s < 700 THEN GREATEST(end_ms, COALESCE(LEAST(s + 700, nxt), s + 700)) ELSE end_ms END, COALESCE(stop, 9e15::BIGINT)) AS end_ms FROM
+  (SELECT c.*, (SELECT MIN(x.s) FROM fx_from x WHERE x.media_id = c.media_id AND x.s > c.s) AS nxt FROM fx_from c)) WHERE end_ms > start_ms""", fx_cue=CUES,
+       fx_from=f"SELECT *, GREATEST(start_ms, COALESCE(floor, start_ms)) AS s FROM (SELECT *, {BOUNDS} FROM fx_cue) WHERE floor IS NULL OR end_ms > floor")
 def _(t):
-    return cu.shape_cues(some_cues(t), stop_ms=60_000, floor_ms=1_000)
+    x = some_cues(t).selectExpr("*", "if(media_id % 4 = 0, 60000L, null) AS stop", "if(media_id % 3 = 0, 1000L, null) AS floor")
+    return cu.shape_cues(x, stop_ms="stop", floor_ms="floor").drop("stop", "floor")
 
 
 SHAPED0 = SHAPED.replace("1000", "0").replace("LEAST(CASE WHEN end_ms - s", "(CASE WHEN end_ms - s").replace("ELSE end_ms END, 60000)", "ELSE end_ms END)")

@@ -213,13 +213,6 @@ CAL = """SELECT media_id, voice, 1 / LEAST(GREATEST(CASE WHEN ov BETWEEN 0 AND 1
   SUM(units * units)::DOUBLE AS suu, SUM(units * seconds) AS sus FROM fx_takes GROUP BY ALL HAVING MIN(units) < MAX(units))"""
 
 
-@query("calibrate_pace", CAL, fx_takes=TAKES)
-def _(t):
-    x = takes(t)
-    many = x.groupBy("media_id", "voice").agg(F.min("units").alias("a"), F.max("units").alias("b")).filter("a < b")
-    return tm.calibrate_pace(x.join(many, ["media_id", "voice"], "left_semi"), ["media_id", "voice"])
-
-
 PACE_STEP = """WITH RECURSIVE o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY media_id, voice ORDER BY "at") AS k FROM fx_takes),
 m AS (SELECT media_id, voice, 0::BIGINT AS k, 1 / 6.1::DOUBLE AS inv, 0.15::DOUBLE AS ov, 0.5::DOUBLE AS p0, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.01::DOUBLE AS p3
       FROM fx_takes GROUP BY media_id, voice
@@ -237,13 +230,21 @@ def _(t):
     return tm.online_pace(takes(t), ["media_id", "voice"])
 
 
+# Voices with one length fall back to the paces read in order.
+CAL_ALL = f"""SELECT media_id, voice, rate, overhead, n FROM ({CAL}) UNION ALL
+SELECT media_id, voice, rate, overhead, n FROM ({PACE_STEP}) SEMI JOIN (SELECT media_id, voice FROM fx_takes GROUP BY ALL HAVING MIN(units) = MAX(units)) USING (media_id, voice)"""
+
+
+@query("calibrate_pace", CAL_ALL, fx_takes=TAKES)
+def _(t):
+    return tm.calibrate_pace(takes(t), ["media_id", "voice"])
+
+
 @query("estimate_duration", """SELECT t.media_id, t.at, t.voice, GREATEST(COALESCE(overhead, 0.15) + units / COALESCE(rate, 6.1), 0.05) AS est_s
-FROM fx_takes t LEFT JOIN fx_cal c ON c.media_id = t.media_id AND c.voice = t.voice""", fx_takes=TAKES, fx_cal=CAL)
+FROM fx_takes t LEFT JOIN fx_cal c ON c.media_id = t.media_id AND c.voice = t.voice""", fx_takes=TAKES, fx_cal=CAL_ALL)
 def _(t):
     x = takes(t)
-    many = x.groupBy("media_id", "voice").agg(F.min("units").alias("a"), F.max("units").alias("b")).filter("a < b")
-    pace = tm.calibrate_pace(x.join(many, ["media_id", "voice"], "left_semi"), ["media_id", "voice"])
-    return tm.estimate_duration(x, pace, ["media_id", "voice"]).select("media_id", "at", "voice", "est_s")
+    return tm.estimate_duration(x, tm.calibrate_pace(x, ["media_id", "voice"]), ["media_id", "voice"]).select("media_id", "at", "voice", "est_s")
 
 
 @query("wall_time", """SELECT w.media_id, w.idx, w.start_ms + COALESCE((SELECT SUM(CASE WHEN rate IS NULL THEN CASE WHEN w.start_ms >= at_ms THEN added_ms ELSE 0 END
