@@ -103,11 +103,13 @@ def gain_envelope(spans: DataFrame, durations: DataFrame, by: list[str] = ["medi
     ramp = (F.when(t < F.col("start_ms"), 0.5 - 0.5 * F.cos(F.pi() * (t - F.col("__a")) / attack_ms)).when(t < F.col("end_ms"), 1.0)
             .otherwise(0.5 + 0.5 * F.cos(F.pi() * (t - F.col("end_ms")) / release_ms)))
     x = x.withColumn("__r", F.when((t >= F.col("__a")) & (t < F.col("__z")), ramp).otherwise(0.0))
-    g = x.groupBy(*by, "frame_no").agg(F.max(F.when(F.col("kind") == "duck", F.col("__r"))).alias("d"),
-                                       F.max(F.when(F.col("kind") == "bare", F.col("__r"))).alias("b"))
-    frames = durations.select(*by, F.explode(F.expr(f"sequence(0L, (duration_ms - 1) div {frame_ms})")).alias("frame_no"))
+    reached = x.select(*by, "frame_no", F.when(F.col("kind") == "duck", F.col("__r")).alias("d"), F.when(F.col("kind") == "bare", F.col("__r")).alias("b"), F.lit(False).alias("own"))
+    none = F.lit(None).cast("double")
+    frames = durations.select(*by, F.explode(F.expr(f"sequence(0L, (duration_ms - 1) div {frame_ms})")).alias("frame_no"), none.alias("d"), none.alias("b"), F.lit(True).alias("own"))
+    # one aggregation of both: frames come from spans of any length, so a side whose size shows only after it was sent is no join side
+    g = frames.unionByName(reached).groupBy(*by, "frame_no").agg(F.max("d").alias("d"), F.max("b").alias("b"), F.max("own").alias("own")).filter("own")
     db = F.coalesce("d", F.lit(0.0)) * duck_db + F.coalesce("b", F.lit(0.0)) * (bare_db - duck_db)
-    return frames.join(g, [*by, "frame_no"], "left").select(*by, "frame_no", F.pow(F.lit(10.0), db / 20).alias("gain"))
+    return g.select(*by, "frame_no", F.pow(F.lit(10.0), db / 20).alias("gain"))
 
 
 def bed_gain(lines: DataFrame, gains: DataFrame, vocals: DataFrame, by: list[str] = ["media_id"], clamp_db: float = 12.0) -> DataFrame:

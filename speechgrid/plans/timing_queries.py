@@ -384,11 +384,14 @@ def _(t):
 r AS (SELECT f.media_id, f.frame_no, kind, MAX(CASE WHEN frame_no * 100 < start_ms THEN 0.5 - 0.5 * cos(pi() * (frame_no * 100 - start_ms + 150) / 150)
    WHEN frame_no * 100 < end_ms THEN 1.0 ELSE 0.5 + 0.5 * cos(pi() * (frame_no * 100 - end_ms) / 400) END) AS r
   FROM (SELECT media_id, kind, start_ms, end_ms, unnest(range(GREATEST(CAST(ceil((start_ms - 150) / 100.0) AS BIGINT), 0), CAST(ceil((end_ms + 400) / 100.0) AS BIGINT))) AS frame_no FROM fx_spans) f GROUP BY ALL)
+SELECT media_id, frame_no // 100 AS part, COUNT(*) AS frames, ROUND(MIN(gain), 6) AS lowest, ROUND(MAX(gain), 6) AS highest, ROUND(SUM(gain), 4) AS total FROM (
 SELECT f.media_id, f.frame_no, pow(10.0::DOUBLE, (COALESCE(d.r, 0) * -6 + COALESCE(b.r, 0) * -6) / 20) AS gain FROM f
 LEFT JOIN (SELECT * FROM r WHERE kind = 'duck') d ON d.media_id = f.media_id AND d.frame_no = f.frame_no
-LEFT JOIN (SELECT * FROM r WHERE kind = 'bare') b ON b.media_id = f.media_id AND b.frame_no = f.frame_no""", **DUCK)
+LEFT JOIN (SELECT * FROM r WHERE kind = 'bare') b ON b.media_id = f.media_id AND b.frame_no = f.frame_no) GROUP BY media_id, frame_no // 100""", **DUCK)
 def _(t):
-    return fr.gain_envelope(ducks(t), t.durations)
+    g = fr.gain_envelope(ducks(t), t.durations)
+    return g.groupBy("media_id", F.expr("frame_no div 100").alias("part")).agg(
+        F.count("*").alias("frames"), F.round(F.min("gain"), 6).alias("lowest"), F.round(F.max("gain"), 6).alias("highest"), F.round(F.sum("gain"), 4).alias("total"))
 
 
 @query("bed_gain", """SELECT l.media_id, LEAST(GREATEST(10 * log10(SUM(pow(10.0::DOUBLE, (length(speaker) - 6) / 10.0::DOUBLE) * conf_sum) / SUM(n_words) / ANY_VALUE(v)), -12), 12) AS gain_db
