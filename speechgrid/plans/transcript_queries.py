@@ -128,17 +128,17 @@ def _(t):
   COUNT(u.start_ms) AS uncovered, CAST(COALESCE(SUM(u.end_ms - u.start_ms), 0) AS BIGINT) AS uncovered_ms,
   (SELECT COUNT(*) FROM fx_low l WHERE l.media_id = c.media_id AND l.start_ms >= c.a_ms AND l.start_ms < c.b_ms) AS low_confidence,
   (SELECT CAST(COALESCE(SUM(end_ms - start_ms), 0) AS BIGINT) FROM fx_low l WHERE l.media_id = c.media_id AND l.start_ms >= c.a_ms AND l.start_ms < c.b_ms) AS low_confidence_ms,
-  0 AS repeats, 0 AS repeats_ms
+  (SELECT COUNT(*) FROM fx_rep r WHERE r.media_id = c.media_id AND r.start_ms >= c.a_ms AND r.start_ms < c.b_ms) AS repeats,
+  (SELECT CAST(COALESCE(SUM(end_ms - start_ms), 0) AS BIGINT) FROM fx_rep r WHERE r.media_id = c.media_id AND r.start_ms >= c.a_ms AND r.start_ms < c.b_ms) AS repeats_ms
 FROM fx_chunks c LEFT JOIN fx_gap u ON u.media_id = c.media_id AND u.start_ms >= c.a_ms AND u.start_ms < c.b_ms
-GROUP BY c.media_id, c.chunk_no, c.a_ms, c.b_ms""", fx_flag=FLAGS, fx_cuts=CUTS, fx_chunks=CHUNKS, fx_u=islands("fx_words"), fx_a=islands("fx_turns"),
+GROUP BY c.media_id, c.chunk_no, c.a_ms, c.b_ms""", fx_loop=LOOP_VIEW, fx_rep=REPEATS, fx_flag=FLAGS, fx_cuts=CUTS, fx_chunks=CHUNKS, fx_u=islands("fx_words"), fx_a=islands("fx_turns"),
        fx_gap=GAPS.format(ident="", a="fx_a", u="fx_u", least=800),
        fx_low="""SELECT media_id, MIN(start_ms) AS start_ms, MAX(end_ms) AS end_ms
 FROM (SELECT *, idx - ROW_NUMBER() OVER (PARTITION BY media_id ORDER BY idx) AS g FROM fx_words WHERE conf_pct < 40)
 GROUP BY media_id, g HAVING COUNT(*) >= 3""")
 def _(t):
-    plain = t.words.select("media_id", "idx", F.expr("concat('w', cast(idx as string))").alias("word"), "start_ms", "end_ms", "conf_pct")
     chunks = tr.chunk_cuts(t.words, chunk_ms=15_000)
-    return tr.asr_report(plain, t.turns, chunks, below=40, conf="conf_pct")
+    return tr.asr_report(loops(t), t.turns, chunks, below=40, conf="conf_pct")
 
 
 @query("music_flag", """SELECT u.media_id, u.id, (end_ms - start_ms >= 4000 AND m < 50 AND r.k IS NOT NULL AND NOT EXISTS (
