@@ -34,6 +34,16 @@ def by_batch(build: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch]], *
     return run
 
 
+def by_slices(build: Callable[..., Callable[[pa.RecordBatch], pa.RecordBatch]], *args, rows: int = 512):
+    """``by_batch`` on some rows at a time, so that what a function makes of long texts is never as large as a whole batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = build(*args)
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                yield each(b.slice(k, rows))
+    return run
+
+
 def parts_for(spark: SparkSession, rows: int, rows_a_part: int) -> int:
     """A number of partitions that follows the input: never fewer than the session's, nor so few that one holds more than
     ``rows_a_part`` rows on average."""

@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_and_text
+from .common import by_batch, by_slices, id_and_text
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -344,4 +344,4 @@ def _accept(pickled: bytes | None, at: int):
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text is not ``rejected`` by ``identify``."""
-    return docs.mapInArrow(by_batch(_accept, pickle.dumps(model) if model else None, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(by_slices(_accept, pickle.dumps(model) if model else None, docs.columns.index(text_col)), docs.schema)

@@ -55,7 +55,7 @@ class Tokens:
     between it is encoded once while it stays in a bounded cache, and so is each word in it, by the library's model; texts that the
     quick way cannot part exactly are encoded whole by the library."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 100_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -63,7 +63,7 @@ class Tokens:
         # the vocabulary writes bytes as characters: the printable ones as themselves, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.words = Kept(self._word, cached)
+        self.words = Kept(self._word, cached // 2)
         self.parts = Kept(lambda part: b"".join([self.words[w] for w in WORD.findall(part)]), cached)
 
     def _whole(self, text: str) -> bytes:
@@ -96,7 +96,7 @@ def _cut(path: str | None, end_id: int, size: int):
         part, end, seen = TaskContext.get().partitionId(), end_id.to_bytes(4, "little"), np.zeros(size + 1, dtype=np.int64).tolist()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text in ((d, t) for k in range(0, b.num_rows, 512) for d, t in zip(b.column(0).slice(k, 512).to_pylist(), b.column(1).slice(k, 512).to_pylist(), strict=True)):
                 ids = memoryview(enc.encode(text) + end)
                 n = len(ids) // 4
                 for s in range(0, n, size):
