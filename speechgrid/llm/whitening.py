@@ -18,15 +18,21 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SAFE = 1 << 62
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    """The rows of a list column without nulls as a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
+def _valid(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the lists of this size that hold finite numbers alone."""
+    at = np.flatnonzero(pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False) == size)
+    flat = (column if len(at) == len(column) else column.take(pa.array(at))).flatten()
+    values = (flat.fill_null(float("nan")) if flat.null_count else flat).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, size)
+    good = np.isfinite(values).all(axis=1)
+    return (at, values) if good.all() else (at[good], values[good])
 
 
 def grid(values: np.ndarray, scale: int, shift: int) -> np.ndarray:
@@ -50,7 +56,7 @@ def _parts(size: int, make: Callable[[np.ndarray], np.ndarray]):
         total = None
         for b in batches:
             for k in range(0, b.num_rows, 4096):
-                part = make(_matrix(b.column(0).slice(k, 4096), size))
+                part = make(_valid(b.column(0).slice(k, 4096), size)[1])
                 total = part if total is None else total + part
         if total is not None:
             flat = total.reshape(-1)
@@ -81,7 +87,7 @@ class Covariance:
             n, far, sums = 0, 0, [0] * size
             for b in batches:
                 for k in range(0, b.num_rows, 4096):
-                    x = grid(_matrix(b.column(0).slice(k, 4096), size), scale, shift)
+                    x = grid(_valid(b.column(0).slice(k, 4096), size)[1], scale, shift)
                     top = int(np.abs(x).max(initial=0))
                     x = x if top < _SAFE >> 12 else x.astype(object)
                     n, far, sums = n + len(x), max(far, top), [a + int(s) for a, s in zip(sums, x.sum(axis=0), strict=True)]
@@ -236,13 +242,14 @@ def deviations(t: np.ndarray) -> pa.Array:
     return pa.array([Decimal(int(x)) for x in (t.astype(object) ** 2).sum(axis=1)], pa.decimal128(38, 0))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """``vec_id, v`` of the rows whose vector has the commonest length (of equally common ones the longest) and only finite entries."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(
-        "v IS NOT NULL AND size(v) > 0 AND forall(v, c -> c IS NOT NULL AND c = c AND abs(c) < double('infinity') AND NOT isnan(c))")
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return (rows, 0) if size is None else (rows.filter(F.size("v") == size.d), size.d)
+def vectors_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """``vec_id, v`` and the commonest length of the vectors (of equally common ones the longest; 0 without any). Vectors of other
+    lengths and with entries that are no finite numbers are left out by the tasks, batch by batch."""
+    kind = vectors.schema[vector_col].dataType.elementType
+    v = F.col(vector_col) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    size = rows.filter("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return rows, 0 if size is None else size.d
 
 
 def _whiten(centre: Callable[[np.ndarray], np.ndarray], turned: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], n: int, shares: list[float], error: float, size: int):
@@ -252,10 +259,10 @@ def _whiten(centre: Callable[[np.ndarray], np.ndarray], turned: np.ndarray, exac
         for b in batches:
             for k in range(0, b.num_rows, 4096):
                 some = b.slice(k, 4096)
-                values, rows = _matrix(some.column(1), size), some.num_rows
-                each = np.repeat(np.arange(rows), many)
+                at, values = _valid(some.column(1), size)
+                rows, each = len(at), np.repeat(np.arange(len(at)), many)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(each)), pa.array(np.tile(np.arange(1, many + 1, dtype=np.int32), rows)), pa.array(np.full(rows * many, n)),
+                    [some.column(0).take(pa.array(at[each])), pa.array(np.tile(np.arange(1, many + 1, dtype=np.int32), rows)), pa.array(np.full(rows * many, n)),
                      deviations(exact(values)).take(pa.array(each)), pa.array((centre(values) @ turned).reshape(-1)), pa.array(np.tile(shares, rows)), pa.array(np.full(rows * many, error))],
                     names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
     return run
@@ -273,11 +280,13 @@ def whiten(vectors: DataFrame, components: int = 8, scale: int = 1024, shift: in
     kept. Repeated rows count each. Components without variance (eigenvalue within rounding of zero) are left out, so fewer rows than
     ``components`` can carry, or equal vectors alone, give fewer or none; of equal eigenvalues any basis is given. Other columns are
     ignored. No rows give no rows. An entry whose x no 64-bit integer holds raises."""
-    rows, size = usable(vectors, id_col, vector_col)
+    rows, size = vectors_of(vectors, id_col, vector_col)
     out = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
     if not size:
         return vectors.sparkSession.createDataFrame([], out)
     of = Covariance(rows, size, scale, shift)
+    if not of.n:
+        return vectors.sparkSession.createDataFrame([], out)
     e, u = leading(of.times, size, components)
     trace = of.trace()
     good = e > 64 * 2.0 ** -52 * max(e[0], 0.0)
