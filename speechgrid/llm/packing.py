@@ -55,7 +55,7 @@ class Tokens:
     between it is encoded once while it stays in a bounded cache, and so is each word in it, by the library's model; texts that the
     quick way cannot part exactly are encoded whole by the library."""
 
-    def __init__(self, path: str, cached: int = 100_000):
+    def __init__(self, path: str, cached: int = 200_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
