@@ -250,13 +250,16 @@ def online_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[str]
     """Pace of each voice after its takes in order: robust recursive least squares of seconds on units, with forgetting.
     ``takes(voice, order, units, seconds)`` -> (voice, rate, overhead, n).
 
-    Each take changes how the next one counts, so a voice's takes are read in order; they are sorted by the shuffle (which
-    spills) and streamed past one small model, never gathered."""
+    Each take changes how the next one counts, so a voice's takes are read in order; a window numbers them (and spills), so they
+    lie whole and in order in one partition whatever join came before, and are streamed past one small model, never gathered.
+    A repartition does not say so: it is dropped after a join by voice, and adaptive execution then reads the join's shuffle
+    in pieces."""
     t = takes.schema
     x = takes.select(*voice, *order, F.col("units").cast("double").alias("units"), F.col("seconds").cast("double").alias("seconds"))
     out = ", ".join([*(f"{v} {t[v].dataType.simpleString()}" for v in voice), "rate double", "overhead double", "n bigint"])
     names = list(voice)
-    return x.repartition(*voice).sortWithinPartitions(*voice, *order).mapInPandas(lambda b: model.fold(b, names), out)
+    x = x.withColumn("__n", F.row_number().over(Window.partitionBy(*voice).orderBy(*order)))
+    return x.mapInPandas(lambda b: model.fold(b, names), out)
 
 
 def calibrate_pace(takes: DataFrame, voice: list[str] = ["voice"], order: list[str] = ["at"]) -> DataFrame:
