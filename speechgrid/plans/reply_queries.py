@@ -150,7 +150,7 @@ def _(t):
 WHERE NOT regexp_matches(text, '(?i)\\b(zero|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|lakh|million|crore|billion)\\b')""")
 def _(t):
     x = t.unit_text.select("media_id", "id", F.regexp_replace("text", "[0-9]", "").alias("source"), F.expr("concat(if(id % 3 = 0, 'అది లేదు', 'అది ఐదు'), if(id % 4 = 0, '?', ''))").alias("spoken"))
-    x = x.filter(~F.rlike("source", F.lit("(?i)\\b(?:" + "|".join(rp.NUMBER_VALUES) + ")\\b")))
+    x = x.filter(~F.rlike("source", F.lit(f"(?i){rp.NOT_IN}(?:" + "|".join(rp.NUMBER_VALUES) + f"){rp.NOT_ON}")))
     return x.select("media_id", "id", F.array_join(rp.meaning_flags("source", "spoken", F.expr("cast(array() as array<string>)")), ",").alias("flags"))
 
 
