@@ -190,12 +190,14 @@ def eta(progress: DataFrame, priors: DataFrame, key: list[str] = ["job_id", "sta
 
 def queue_report(jobs: DataFrame, left: DataFrame, by: str = "job_id") -> DataFrame:
     """First-in-first-out position of queued jobs and the seconds of work before each: what the running jobs and the queued
-    ones ahead have left. The order is carried across day chunks, so the queue is never in one task whole."""
+    ones ahead have left. The order is carried across day chunks, so the queue is never in one task whole. The seconds are added
+    as decimals (to 1e-12), so the sums are those of any order and of any length of the queue."""
     x = jobs.filter("status = 'queued'").join(left.select(by, "left_s"), by, "left").na.fill(0.0, ["left_s"])
-    running = jobs.filter("status = 'running'").join(left.select(by, "left_s"), by).agg(F.coalesce(F.sum("left_s"), F.lit(0.0)).alias("__run"))
+    exact = F.col("left_s").cast("decimal(27,12)")
+    running = jobs.filter("status = 'running'").join(left.select(by, "left_s"), by).agg(F.coalesce(F.sum(exact), F.lit(0)).alias("__run"))
     x = scan(x, [], ["queued_ms", by], bucket_of("queued_ms", DAY_MS), position=running_sum(F.lit(1).cast("bigint")),
-             __ahead=running_sum("left_s", inclusive=False))
-    return x.crossJoin(F.broadcast(running)).select(by, "position", (F.col("__ahead") + F.col("__run")).alias("ahead_s"))
+             __ahead=running_sum(exact, inclusive=False))
+    return x.crossJoin(F.broadcast(running)).select(by, "position", (F.col("__ahead") + F.col("__run")).cast("double").alias("ahead_s"))
 
 
 def orphan_keys(files: DataFrame, refs: DataFrame, key: str = "key") -> DataFrame:
