@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import bucket_of, point_join
@@ -15,13 +15,16 @@ FRAME_MS = 10
 def pauses(frames: DataFrame, key: list[str] = ["media_id", "take"], frame_ms: int = FRAME_MS, floor_db: float = -40.0,
            min_ms: int = 150) -> DataFrame:
     """Silent runs of each take: frames quieter than the 95th percentile by 40 dB, runs of at least ``min_ms`` (a run at
-    either end counts however short); a take with no sound is one pause. ``frames(key, frame_no, value)``. A take is one
-    spoken line, so its frames are few."""
-    loud = frames.groupBy(*key).agg(F.percentile("value", F.lit(0.95)).alias("__loud"), F.max("frame_no").alias("__hi"))
-    x = frames.join(loud, key)
+    either end counts however short); a take with no sound is one pause. ``frames(key, frame_no, value[, n])``: a row stands for
+    ``n`` frames of one value from ``frame_no`` on (one, without the column), so equal neighbours travel as one row. A take is one
+    spoken line, so its frames are few: one shuffle by take, and windows over it."""
+    n = F.col("n") if "n" in frames.columns else F.lit(1).cast("bigint")
+    take = Window.partitionBy(*key)
+    x = frames.filter(n > 0).select(*key, "frame_no", "value", n.alias("__n")).withColumns({
+        "__loud": F.percentile("value", F.lit(0.95), F.col("__n")).over(take), "__hi": F.max(F.col("frame_no") + F.col("__n") - 1).over(take)})
     quiet = F.when(F.col("__loud") <= 1e-6, True).otherwise(F.col("value") < F.col("__loud") * 10 ** (floor_db / 20))
-    x = scan(x.withColumn("__q", quiet), key, ["frame_no"], F.expr("frame_no div 4096"), __run=running_sum(F.when(F.col("__q"), 0).otherwise(1)))
-    g = x.filter("__q").groupBy(*key, "__run", "__hi").agg(F.min("frame_no").alias("a"), F.max("frame_no").alias("b"))
+    x = scan(x.withColumn("__q", quiet), key, ["frame_no"], __run=running_sum(F.when(F.col("__q"), 0).otherwise(1)))
+    g = x.filter("__q").groupBy(*key, "__run", "__hi").agg(F.min("frame_no").alias("a"), F.max(F.col("frame_no") + F.col("__n") - 1).alias("b"))
     g = g.filter(((F.col("b") - F.col("a") + 1) * frame_ms >= min_ms) | (F.col("a") == 0) | (F.col("b") == F.col("__hi")))
     return g.select(*key, (F.col("a") * frame_ms).alias("start_ms"), ((F.col("b") + 1) * frame_ms).alias("end_ms"))
 

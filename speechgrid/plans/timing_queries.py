@@ -303,16 +303,18 @@ TF = dict(fx_take=TAKE, fx_loud=TAKE_FRAMES, fx_frame10=FULL_FRAMES, fx_pause=PA
 
 
 def take_frames(t):
-    """Each word brings the silence before it and its own loud frames; the last one the silence after it."""
-    w = Window.partitionBy("media_id", "turn").orderBy("pos")  # the eight words of one line
-    x = t.words.withColumn("turn", F.expr("turn * 10000 + pos div 8")).withColumns({"pe": F.lag("end_ms").over(w), "more": F.lead("pos").over(w), "a": F.min("start_ms").over(w)})
-    x = x.selectExpr("media_id", "turn AS take", "a div 10 - 7 AS a", "start_ms div 10 AS s", "end_ms div 10 AS e",
-                     "explode(sequence(coalesce(pe div 10, a div 10 - 7), end_ms div 10 - 1 + if(more is null, 30, 0))) AS f")
-    return x.selectExpr("media_id", "take", "f - a AS frame_no", "if(f >= s and f < e, 0.5D, 0.0D) AS value")
+    """Each word brings the silence before it and its own loud frames; the last one the silence after it. Equal frames in a row are
+    one row of ``n``."""
+    w = Window.partitionBy("media_id", "take").orderBy("pos")  # the eight words of one line
+    x = t.words.select("media_id", F.expr("turn * 10000 + pos div 8").alias("take"), "pos", F.expr("start_ms div 10").alias("s"), F.expr("end_ms div 10").alias("e"))
+    x = x.withColumns({"a": F.min("s").over(w) - 7, "pe": F.lag("e").over(w), "more": F.lead("pos").over(w)})
+    runs = """inline(array(struct(coalesce(pe, a) - a as frame_no, s - coalesce(pe, a) as n, 0.0D as value), struct(s - a as frame_no, e - s as n, 0.5D as value),
+      struct(e - a as frame_no, if(more is null, 30L, 0L) as n, 0.0D as value)))"""
+    return x.selectExpr("media_id", "take", runs).filter("n > 0")
 
 
 def totals(frames):
-    return frames.groupBy("media_id", "take").agg(((F.max("frame_no") + 1) * 10).alias("total_ms"))
+    return frames.groupBy("media_id", "take").agg((F.max(F.col("frame_no") + F.col("n")) * 10).alias("total_ms"))
 
 
 @query("take_pauses", "SELECT * FROM fx_pause", **TF)
