@@ -56,35 +56,19 @@ def sessions(events: DataFrame, gap: str = "60 seconds") -> DataFrame:
             .select("media_id", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "events", "wall_ms"))
 
 
-LINE_STATE = "t_ms bigint, event_id bigint, seen boolean, said string, freeze_ms bigint, o_t_ms bigint, o_id bigint, o_said string, o_freeze_ms bigint"
-LINE_OUT = "media_id bigint, id bigint, said string, freeze_ms bigint, t_ms bigint"
-
-
-def _line(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A line's latest unit with what a replacing rephrase overrides; an override that comes first waits in the state."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    s = list(state.get) if state.exists else [None, None, False, None, None, None, None, None, None]
-    for b in batches:
-        for r in b.sort_values(["t_ms", "event_id"]).itertuples(index=False):
-            at = (r.t_ms, r.event_id)
-            if r.event == "unit" and (s[0] is None or at >= (s[0], s[1])):
-                s[:5] = [int(r.t_ms), int(r.event_id), True, r.said, None if pd.isna(r.freeze_ms) else int(r.freeze_ms)]
-            if r.event == "rephrase" and (s[5] is None or at >= (s[5], s[6])):
-                s[5:7] = [int(r.t_ms), int(r.event_id)]
-                s[7] = s[7] if r.said is None else r.said
-                s[8] = s[8] if pd.isna(r.freeze_ms) else int(r.freeze_ms)
-    state.update(tuple(s))
-    state.setTimeoutTimestamp(max(x for x in (s[0], s[5], state.getCurrentWatermarkMs() + 1) if x is not None) + 86_400_000)
-    if s[2]:
-        yield pd.DataFrame({"media_id": [key[0]], "id": [key[1]], "said": [s[7] if s[7] is not None else s[3]], "freeze_ms": pd.array([s[8] if s[8] is not None else s[4]], dtype="Int64"), "t_ms": [s[0]]})
-
-
 def current_lines(events: DataFrame) -> DataFrame:
-    """The current state of each line, emitted again whenever it changes (keyed state per recording and line)."""
-    x = events.filter("event = 'unit' or (event = 'rephrase' and outcome = 'replaced')").select("media_id", "id", "ts", "t_ms", "event_id", "event", "said", "freeze_ms")
-    return x.groupBy("media_id", "id").applyInPandasWithState(_line, LINE_OUT, LINE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    """The current state of each line, emitted again whenever it changes: its latest unit, with the latest wording and the latest
+    freeze that replacing rephrases give, in whatever order the events come; an override that comes first waits in the state.
+
+    Maxima by (t_ms, event_id), kept as one streaming aggregation in the JVM: a few numbers and two strings a line, with no call of
+    Python a line. A line's state is kept as long as the stream, so no override is lost for coming late."""
+    x = events.filter("event = 'unit' or (event = 'rephrase' and outcome = 'replaced')")
+    at, unit = F.struct("t_ms", "event_id"), F.col("event") == "unit"
+    g = x.groupBy("media_id", "id").agg(
+        F.max_by(F.struct("said", "freeze_ms", "t_ms"), F.when(unit, at)).alias("u"),
+        *[F.max_by(c, F.when(~unit & F.col(c).isNotNull(), at)).alias(f"o_{c}") for c in ("said", "freeze_ms")])
+    return g.filter("u is not null").select("media_id", "id", F.coalesce("o_said", "u.said").alias("said"),
+                                            F.coalesce("o_freeze_ms", "u.freeze_ms").alias("freeze_ms"), F.col("u.t_ms").alias("t_ms"))
 
 
 PACE_STATE = "inv double, ov double, p0 double, p1 double, p2 double, p3 double, n bigint"
