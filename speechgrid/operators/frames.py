@@ -10,6 +10,7 @@ from ..functions.scan import running_sum, scan
 from .intervals import interval_subtract, interval_union
 
 FRAME_MS = 10
+_PART = 100  # frames of a recording whose gains are made together
 
 
 def pauses(frames: DataFrame, key: list[str] = ["media_id", "take"], frame_ms: int = FRAME_MS, floor_db: float = -40.0,
@@ -97,22 +98,28 @@ def duck_spans(lines: DataFrame, speech: DataFrame, by: list[str] = ["media_id"]
 def gain_envelope(spans: DataFrame, durations: DataFrame, by: list[str] = ["media_id"], frame_ms: int = 100, attack_ms: int = 150,
                   release_ms: int = 400, duck_db: float = -6.0, bare_db: float = -12.0) -> DataFrame:
     """Background gain per frame (at its start): (by, frame_no, gain). -6 dB inside duck spans, -12 dB inside bare ones,
-    raised-cosine ramps around both, the strongest where ramps meet; 0 dB elsewhere. A span is exploded to the frames it
-    reaches, so the work is the number of frames."""
-    s = spans.withColumns({"__a": F.col("start_ms") - attack_ms, "__z": F.col("end_ms") + release_ms})
-    x = s.withColumn("frame_no", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.expr(f"cast(ceil(__a / {frame_ms}) as bigint)")),
-                                                      F.expr(f"cast(ceil(__z / {frame_ms}) as bigint)"))))
+    raised-cosine ramps around both, the strongest where ramps meet; 0 dB elsewhere. Spans and recordings are dealt to parts of
+    ``_PART`` frames, and frames are made where a part's spans have met: no frame is shuffled."""
+    frame = lambda ms: F.ceil(ms / frame_ms).cast("bigint")
+    x = spans.select(*by, "kind", "start_ms", "end_ms", F.greatest(F.lit(0).cast("bigint"), frame(F.col("start_ms") - attack_ms)).alias("__lo"),
+                     frame(F.col("end_ms") + release_ms).alias("__hi"))
+    none = F.lit(None)
+    own = durations.select(*by, none.cast("string").alias("kind"), none.cast("bigint").alias("start_ms"), none.cast("bigint").alias("end_ms"),
+                           F.lit(0).cast("bigint").alias("__lo"), F.expr(f"(duration_ms - 1) div {frame_ms}").alias("__hi"))
+    x = own.unionByName(x).filter("__hi >= __lo").withColumn("__p", F.explode(F.expr(f"sequence(__lo div {_PART}, __hi div {_PART})")))
+    kind = F.col("kind")
+    g = x.groupBy(*by, "__p").agg(F.max(F.when(kind.isNull(), F.least("__hi", F.col("__p") * _PART + _PART - 1))).alias("__hi"),
+                                  *[F.collect_list(F.when(kind == k, F.struct("start_ms", "end_ms"))).alias(k) for k in ("duck", "bare")])
+    g = g.filter("__hi is not null").select(*by, "duck", "bare", F.explode(F.expr(f"sequence(__p * {_PART}, __hi)")).alias("frame_no"))
     t = F.col("frame_no") * frame_ms
-    ramp = (F.when(t < F.col("start_ms"), 0.5 - 0.5 * F.cos(F.pi() * (t - F.col("__a")) / attack_ms)).when(t < F.col("end_ms"), 1.0)
-            .otherwise(0.5 + 0.5 * F.cos(F.pi() * (t - F.col("end_ms")) / release_ms)))
-    x = x.withColumn("__r", F.when((t >= F.col("__a")) & (t < F.col("__z")), ramp).otherwise(0.0))
-    reached = x.select(*by, "frame_no", F.when(F.col("kind") == "duck", F.col("__r")).alias("d"), F.when(F.col("kind") == "bare", F.col("__r")).alias("b"), F.lit(False).alias("own"))
-    none = F.lit(None).cast("double")
-    frames = durations.select(*by, F.explode(F.expr(f"sequence(0L, (duration_ms - 1) div {frame_ms})")).alias("frame_no"), none.alias("d"), none.alias("b"), F.lit(True).alias("own"))
-    # one aggregation of both: frames come from spans of any length, so a side whose size shows only after it was sent is no join side
-    g = frames.unionByName(reached).groupBy(*by, "frame_no").agg(F.max("d").alias("d"), F.max("b").alias("b"), F.max("own").alias("own")).filter("own")
-    db = F.coalesce("d", F.lit(0.0)) * duck_db + F.coalesce("b", F.lit(0.0)) * (bare_db - duck_db)
-    return g.select(*by, "frame_no", F.pow(F.lit(10.0), db / 20).alias("gain"))
+
+    def ramp(s: Column) -> Column:
+        a, z = s["start_ms"] - attack_ms, s["end_ms"] + release_ms
+        return (F.when((t < a) | (t >= z), 0.0).when(t < s["start_ms"], 0.5 - 0.5 * F.cos(F.pi() * (t - a) / attack_ms)).when(t < s["end_ms"], 1.0)
+                .otherwise(0.5 + 0.5 * F.cos(F.pi() * (t - s["end_ms"]) / release_ms)))
+
+    d, b = (F.coalesce(F.array_max(F.transform(k, ramp)), F.lit(0.0)) for k in ("duck", "bare"))
+    return g.select(*by, "frame_no", F.pow(F.lit(10.0), (d * duck_db + b * (bare_db - duck_db)) / 20).alias("gain"))
 
 
 def bed_gain(lines: DataFrame, gains: DataFrame, vocals: DataFrame, by: list[str] = ["media_id"], clamp_db: float = 12.0) -> DataFrame:
