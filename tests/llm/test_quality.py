@@ -64,3 +64,42 @@ def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.op9_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert len(got) > 80 and sum(r.quality == r.predicted for r in got) / len(got) > 0.95
+
+
+def test_every_labelled_row_takes_part(spark, docs_of):
+    """More rows than the sample held: mean, cut and weights are those of all of them."""
+    rows = [(i, ("calm words say {} something new" if i % 90 else "$ {} ## % words").format(i * 7919 % 10007)) for i in range(9000)]
+    labels = spark.createDataFrame([(i, int(bool(i % 90) ^ (i % 450 == 7))) for i in range(9000)], "doc_id long, quality int")
+    m = Q.learn(docs_of(rows), labels)
+    x, y = np.array([Q.features(t.encode()) for _, t in rows]), np.array([int(bool(i % 90) ^ (i % 450 == 7)) for i in range(9000)])
+    np.testing.assert_allclose(m.mean, x.mean(axis=0), atol=1e-12)
+    np.testing.assert_allclose(m.spread, np.maximum(x.std(axis=0), 0.02), atol=1e-9)
+    s = m.strength(x)
+    assert (s < m.cut).sum() <= (y == 0).sum() <= (s <= m.cut).sum()
+    # fewer than two buckets' worth of bad rows: the loss is over all pairs, and its gradient is nought
+    z = (x - m.mean) / m.spread
+    good, bad = z[y == 1], z[y == 0]
+    assert len(bad) < 2 * Q.RARER
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+    gradient = (good.T @ p.sum(axis=1) - bad.T @ p.sum(axis=0)) / p.size - 0.003 * m.weights
+    assert np.abs(gradient).max() < 1e-5
+
+
+def test_buckets_cover_every_row(spark):
+    """Many bad rows: several buckets, and blocks that part a bucket's common rows; each row counts once."""
+    x = np.random.default_rng(1).random((700, Q.N_FEATURES))
+    rows = sorted((i % 3, i % 10 != 0, x[i].tobytes()) for i in range(700))
+    import zlib
+
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k:k + 90]]), pa.array([r[1] for r in rows[k:k + 90]]), pa.array([zlib.compress(r[2]) for r in rows[k:k + 90]])], names=["b", "c", "x"])
+               for k in range(0, 700, 90)]
+    old, Q.BLOCK = Q.BLOCK, 50
+    try:
+        blocks = [b.to_pylist()[0] for b in Q._blocks(iter(batches))]
+    finally:
+        Q.BLOCK = old
+    total = sum(Q._moments(Q._rows(b["rare"]), Q._rows(b["common"]), b["fresh"]) for b in blocks)
+    np.testing.assert_allclose(total[0, :-1], x.sum(axis=0))
+    of = lambda k, c: sum(i % 3 == k and (i % 10 != 0) == c for i in range(700))
+    assert total[0, -1] == sum(of(k, True) * of(k, False) for k in range(3))
