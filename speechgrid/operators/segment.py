@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as wr
@@ -57,11 +57,21 @@ def word_flags(words: DataFrame, lex: Lexicon = LEXICON) -> DataFrame:
     clause, marked, asks, shout, opens, cap, num, bc, filler, answer, dangling, so, pron (the pronoun I)."""
     b = wr.bare("word")
     p = wr.plain("word")
-    return words.withColumns({
-        "ends": wr.sentence_end("word", None, lex), "soft": F.rlike(b, F.lit("[.…]$")), "clause": wr.clause_end("word"), "marked": wr.marked("word"),
-        "asks": wr.question("word"), "shout": F.rlike(b, F.lit("[?!]$")), "opens": wr.opens("word"), "cap": wr.capital("word"), "num": wr.numeric("word", lex), "bc": p.isin(*lex.backchannels),
-        "filler": p.isin(*lex.fillers), "answer": p.isin(*lex.answers), "dangling": p.isin(*lex.dangling), "so": p == "so",
-        "pron": F.split(F.regexp_replace(p, "’", "'"), "'")[0] == "i"})
+    # A word of ASCII letters alone has no mark, is its own plain form, and its first letter is its first character: one test spares
+    # it the patterns of the others.
+    bare, low, upper = F.col("__bare"), F.col("__low"), F.rlike("word", F.lit("^[A-Z]"))
+
+    def unmarked(then, other) -> Column:
+        return F.when(bare, then).otherwise(other)
+    no = F.lit(False)
+    x = words.withColumn("__bare", F.rlike("word", F.lit("^[A-Za-z]+\\z")))
+    x = x.withColumn("__low", unmarked(F.lower("word"), p))
+    return x.withColumns({
+        "ends": unmarked(no, wr.sentence_end("word", None, lex)), "soft": unmarked(no, F.rlike(b, F.lit("[.…]$"))), "clause": unmarked(no, wr.clause_end("word")),
+        "marked": unmarked(no, wr.marked("word")), "asks": unmarked(no, wr.question("word")), "shout": unmarked(no, F.rlike(b, F.lit("[?!]$"))),
+        "opens": unmarked(upper, wr.opens("word")), "cap": unmarked(upper, wr.capital("word")), "num": unmarked(low.isin(*lex.number_words), wr.numeric("word", lex)),
+        "bc": low.isin(*lex.backchannels), "filler": low.isin(*lex.fillers), "answer": low.isin(*lex.answers), "dangling": low.isin(*lex.dangling), "so": low == "so",
+        "pron": unmarked(low == "i", F.split(F.regexp_replace(p, "’", "'"), "'")[0] == "i")}).drop("__bare", "__low")
 
 
 FLAGS = ("ends", "soft", "clause", "marked", "asks", "shout", "opens", "cap", "num", "bc", "filler", "answer", "dangling", "so", "pron")
@@ -92,11 +102,12 @@ def _labels(r: Rules) -> str:
     def pick(rows: str) -> str:
         return f"if(exists({rows}, x -> x.speaker = p), p, get({rows}, 0).speaker)"
     d = "greatest(2 * x.s - t2, t2 - 2 * x.e)"
-    inside = "filter(T, x -> 2 * x.s <= t2 and t2 <= 2 * x.e)"
-    longest = _let(inside, "ins", _let("filter(ins, x -> x.e - x.s = array_max(transform(ins, y -> y.e - y.s)))", "top", pick("top")))
+    longest = _let("array_max(transform(ins, y -> y.e - y.s))", "mx", _let("filter(ins, x -> x.e - x.s = mx)", "top", pick("top")))
     near = _let(f"array_min(transform(T, x -> {d}))", "dm", _let(f"filter(T, x -> {d} = dm)", "cl", f"struct(dm as d, {pick('cl')} as spk)"))
-    one = _let("w.s + w.e", "t2", f"if(exists(T, x -> 2 * x.s <= t2 and t2 <= 2 * x.e), {longest}, "
-               + _let(near, "nr", f"coalesce(if(nr.d <= {2 * r.snap}, nr.spk, null), p, nr.spk, 'S1')") + ")")
+    near = _let(near, "nr", f"coalesce(if(nr.d <= {2 * r.snap}, nr.spk, null), p, nr.spk, 'S1')")
+    # Most words lie in one turn only: the turns are searched once for them.
+    one = _let("w.s + w.e", "t2", _let("filter(T, x -> 2 * x.s <= t2 and t2 <= 2 * x.e)", "ins",
+                                       f"case when size(ins) = 1 then ins[0].speaker when size(ins) = 0 then {near} else {longest} end"))
     return f"aggregate(W, cast(array() as array<string>), (ls, w) -> concat(ls, array({_let('element_at_last(ls)', 'p', one)})))".replace(
         "element_at_last(ls)", "if(size(ls) > 0, element_at(ls, -1), cast(null as string))")
 
@@ -379,7 +390,8 @@ def join_seams(units: DataFrame, by: list[str] = M, max_ms: int = 20_000, gap_ms
     How far a joined unit starting at each unit would reach is known from the next place that must part and from the length
     limit; the walk picks the starts, by pointer doubling, however many units are joined into one."""
     ended = F.rlike(F.regexp_replace("text", "[\"'”’)]+$", ""), F.lit("[.?!…।]$"))
-    u = scan(units, by, ["start_ms", "end_ms", "text"], bucket_of("start_ms", CHUNK), __n=row_number(), __nx=following(F.struct("speaker", "start_ms")))
+    # Stored first: a scan reads its rows twice, and to make these is to segment.
+    u = scan(stage(units), by, ["start_ms", "end_ms", "text"], bucket_of("start_ms", CHUNK), __n=row_number(), __nx=following(F.struct("speaker", "start_ms")))
     u = u.withColumns({"seq": F.col("__n") - 1, "__part": F.col("__nx").isNull() | (F.col("__nx.speaker") != F.col("speaker")) | ended
                        | (F.col("__nx.start_ms") - F.col("end_ms") > gap_ms)}).drop("__n", "__nx")
     u = stage(u)
