@@ -31,8 +31,9 @@ def _c(v) -> Column:
 
 
 def let(value: Column, fn) -> Column:
-    """``fn`` of ``value``, evaluated once."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
+    """``fn`` of ``value``, evaluated once: the start value of a fold over nothing, and ``fn`` its finish. (The element of an array mapped by
+    ``fn`` is the same, but is copied with all it holds, and the type of ``fn`` is worked out anew for every row.)"""
+    return F.aggregate(F.array(), value, lambda so_far, _: so_far, fn)
 
 
 def count_aksharas(text, pollu: float = 0.5) -> Column:
