@@ -145,12 +145,23 @@ def _(t):
     return rp.glossary_entries(x)
 
 
-@query("meaning_flags", """SELECT media_id, id, array_to_string(list_filter([CASE WHEN (regexp_matches(text, '(?i)\\b(not|never|no|nobody|nothing|none|nowhere|neither|nor|cannot|without)\\b') OR regexp_matches(text, '(?i)n[''’]t\\b')) <> (id % 3 = 0) THEN 'negation' END,
-  CASE WHEN contains(text, '?') <> (id % 4 = 0) THEN 'question' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT media_id, id, regexp_replace(text, '[0-9]', '', 'g') AS text FROM fx_unit_text)
-WHERE NOT regexp_matches(text, '(?i)\\b(zero|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|lakh|million|crore|billion)\\b')""")
+# Numbers of a line's text. Runs of digits, commas and points that no letter (or letter and hyphen) stands before, each with a letter
+# after it; letters and hyphens are doubled first, so that one between two runs is seen by both. Of a run, what is followed by no
+# letter and no further digit is the number. The reply says five or nothing: a number begins with five where its leading group of
+# units, hundreds, thousands or lakhs does.
+NUMBER_RUNS = """list_filter(regexp_extract_all(regexp_replace(text, '([A-Za-z-])', '\\1\\1', 'g'), '(?:[A-Za-z](?:--)?)?[0-9.,]+[A-Za-z]?'), lambda x: regexp_matches(x, '^[0-9]'))"""
+NUMBER_OF = """regexp_replace(regexp_extract(replace(regexp_extract(x, '^([0-9][0-9,]*(?:[.][0-9]+)?)(?:$|[.,](?:$|[^0-9]))', 1), ',', ''), '^[0-9]+'), '^0+([0-9])', '\\1')"""
+IS_FIVE = "(v LIKE '5%' AND (length(v) - 1) % 7 + 1 IN (1, 3, 4, 6))"
+OTHERS = "|".join(w for w in rp.NUMBER_VALUES if w != "five")
+
+
+@query("meaning_flags", f"""SELECT media_id, id, array_to_string(list_filter([CASE WHEN (regexp_matches(text, '(?i)\\b(not|never|no|nobody|nothing|none|nowhere|neither|nor|cannot|without)\\b') OR regexp_matches(text, '(?i)n[''’]t\\b')) <> (id % 3 = 0) THEN 'negation' END,
+  CASE WHEN contains(text, '?') <> (id % 4 = 0) THEN 'question' END,
+  CASE WHEN regexp_matches(low, '\\b({OTHERS})\\b') OR (id % 3 = 0 AND regexp_matches(low, '\\bfive\\b'))
+    OR len(list_filter(numbers, lambda v: v <> '' AND NOT (id % 3 <> 0 AND {IS_FIVE}))) > 0 THEN 'number' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM (SELECT media_id, id, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, list_transform({NUMBER_RUNS}, lambda x: {NUMBER_OF}) AS numbers FROM fx_unit_text)""")
 def _(t):
-    x = t.unit_text.select("media_id", "id", F.regexp_replace("text", "[0-9]", "").alias("source"), F.expr("concat(if(id % 3 = 0, 'అది లేదు', 'అది ఐదు'), if(id % 4 = 0, '?', ''))").alias("spoken"))
-    x = x.filter(~F.rlike("source", F.lit(f"(?i){rp.NOT_IN}(?:" + "|".join(rp.NUMBER_VALUES) + f"){rp.NOT_ON}")))
+    x = t.unit_text.select("media_id", "id", F.col("text").alias("source"), F.expr("concat(if(id % 3 = 0, 'అది లేదు', 'అది ఐదు'), if(id % 4 = 0, '?', ''))").alias("spoken"))
     return x.select("media_id", "id", F.array_join(rp.meaning_flags("source", "spoken", F.expr("cast(array() as array<string>)")), ",").alias("flags"))
 
 
