@@ -29,10 +29,11 @@ def _cut(counts: DataFrame, bucket_rows: int) -> DataFrame:
     return counts.join(F.broadcast(cuts), "__m").withColumn("__b", find).drop("__cuts")
 
 
-def quantiles(df: DataFrame, by: list[str], measures: dict[str, tuple[Column, dict[str, float]]], bucket_rows: int = 200_000) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], measures: dict[str, tuple[Column, dict[str, float]]], bucket_rows: int = 200_000, fused: bool = False) -> DataFrame:
     """(by, one column a quantile): of each measure ``name: (column, {result: share})`` the value at ``share`` of its non-NULL values
     in order, between two values in proportion, as the percentile aggregate gives it; NULL without values. Groups without any value
-    have no row. ``by`` must not be NULL."""
+    have no row. ``by`` must not be NULL. ``fused``: between two values the lower one's part is multiplied and added in one rounding,
+    as the comparison SQL's ``quantile_cont`` does; the percentile aggregate rounds once more, so its last bit may differ."""
     values = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), c.cast("double").alias("v")) for m, (c, _) in measures.items()]), lambda x: x["v"].isNotNull())
     counts = stage(df.select(*by, F.explode(values).alias("x")).groupBy(*by, F.col("x.m").alias("__m"), F.col("x.v").alias("__v")).agg(F.count("*").alias("__n")))
     cut = _cut(counts, bucket_rows)
@@ -54,7 +55,11 @@ def quantiles(df: DataFrame, by: list[str], measures: dict[str, tuple[Column, di
     low, high = F.min("__v"), F.max("__v")
     each = found.groupBy(*by, "__r").agg(low.alias("__low"), high.alias("__high"), F.first("__at").alias("__at"))
     lower, upper = F.floor("__at"), F.ceil("__at")
-    value = F.when((lower == upper) | (F.col("__low") == F.col("__high")), F.col("__low")).otherwise(
-        (upper - F.col("__at")) * F.col("__low") + (F.col("__at") - lower) * F.col("__high"))
+    if fused:
+        between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("__low"), upper - F.col("__at"), (F.col("__at") - lower) * F.col("__high")).cast("double")
+        value = F.when(lower == upper, F.col("__low")).otherwise(between)
+    else:
+        value = F.when((lower == upper) | (F.col("__low") == F.col("__high")), F.col("__low")).otherwise(
+            (upper - F.col("__at")) * F.col("__low") + (F.col("__at") - lower) * F.col("__high"))
     each = each.withColumn("__value", value)
     return each.groupBy(*by).agg(*[F.max(F.when(F.col("__r") == r, F.col("__value"))).alias(r) for _, ps in measures.values() for r in ps])

@@ -314,7 +314,7 @@ def scale_sweep(lines: DataFrame, scales: list[float], dur: str = "dur_ms", by:
     rate = F.when(F.col("__d") <= F.col("budget_ms"), 1.0).otherwise(F.least(F.col("__d") / F.col("budget_ms"), F.lit(1.25)))
     over = F.greatest(F.col("__d") / rate - F.col("budget_ms"), F.lit(0.0))
     x = stage(x.select(*by, "scale", "__d", "budget_ms"))
-    places = quantiles(x, [*by, "scale"], {"rate": (rate, {"rate_p50": 0.5, "rate_p90": 0.9})})
+    places = quantiles(x, [*by, "scale"], {"rate": (rate, {"rate_p50": 0.5, "rate_p90": 0.9})}, fused=True)
     return x.groupBy(*by, "scale").agg(
         F.count("*").alias("lines"), F.avg(F.when(F.col("__d") <= F.col("budget_ms"), 1.0).otherwise(0.0)).alias("fits_share"),
         F.avg(F.when(F.col("__d") > F.col("budget_ms") * 1.05, 1.0).otherwise(0.0)).alias("condense_share"),
